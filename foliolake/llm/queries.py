@@ -47,3 +47,18 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {f.__name__: f for f in (op8_token_counts, op9_line_dedup)}
 ORACLES = {"op9_line_dedup": OP9_SQL}
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {f.__name__: f for f in (op4_quality, op6_toxicity)}
