@@ -98,3 +98,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 QUERIES |= {"op1_topk_search": op1_topk_search}
 ORACLES |= {"op1_topk_search": OP1_SQL}
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES |= {"op2_ngram_jaccard": op2_ngram_jaccard}
