@@ -107,3 +107,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_ngram_jaccard": op2_ngram_jaccard}
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_items
+
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op10_decontamination": op10_decontamination}
