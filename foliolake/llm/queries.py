@@ -116,3 +116,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_decontamination": op10_decontamination}
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {"op5_html_text": op5_html_text}
