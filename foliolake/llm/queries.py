@@ -125,3 +125,13 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_html_text": op5_html_text}
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import encode
+    from .token_counts import tokenizer_path
+
+    return encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES |= {"op3_sentencepiece": op3_sentencepiece}
