@@ -1,9 +1,11 @@
 """Near-duplicate groups by an exact Jaccard join on word shingles: size-aware, light by subsets, heavy by inverted lists.
 
-Equal sets fall into one class first, and one text stands for each. Shingles have one global order (by hash, the most frequent ones last). Two
-sets at the threshold share ``k`` shingles within the first ``n - o + k`` of each, ``o`` being the least overlap a set of n can have with a partner.
-Small sets are joined by equal 2-subsets of that prefix (k = 2), large ones through the inverted lists of their prefix (k = 1); sets just below
-the boundary stand in the lists too. A cost model over the sizes and sampled list lengths sets the boundary; it changes speed, not results.
+Equal sets fall into one class, and one text stands for each. Small sets are joined by equal 2-subsets of their first ``n - o + 2`` shingles,
+``o`` being the least overlap a set of n can have with a partner. Large sets are joined through inverted lists. The lists
+are kept over a part of all shingles (by hash; the smaller the sets, the larger the part): two linked sets miss at most ``n - o`` of each other's shingles there
+too, so with the rarest first, they meet among the first ``n - o + 1``, and the smaller one of a pair within the first ``(n + 1) * (1 - t) / (1 + t)`` or so.
+Shingles that no other text has cost a place and make no list, which leaves few lists besides those of near copies. Should
+a set have so few shingles in its part that this could fail, the part becomes the whole for all. A cost model over the sizes sets the boundary between small and large; it changes speed, not results.
 
 Lists are read in blocks. Within one, pairs are counted out by size and by a parity bitmap, which bounds the symmetric difference from below, so a pair
 that it rejects cannot link. Pairs aren't emitted: each set offers its most alike predecessor, these links are checked on
@@ -17,17 +19,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
 from .shingles import shingle_set
 
-#: Bits of a parity bitmap; members of a block of a list; frequent shingles that are ordered last, at most.
-BITS, BLOCK, HOT = 1024, 2048, 1 << 17
-#: Ids that are broadcast to fetch their texts, at most; beyond it they are joined by a shuffle.
+#: Bits of a parity bitmap; members of a block of a list; the largest size that subsets are made for.
+BITS, BLOCK, LIGHT = 1024, 2048, 96
+#: Ids whose texts are fetched through a broadcast, at most; beyond it they are joined by a shuffle.
 IDS = 1_000_000
+#: Bands of sizes: the largest size and the part of all shingles that the band's lists are kept over.
+BANDS = ((96, 1.0), (256, 0.6), (1 << 62, 0.4))
 
 
 def least_overlap(n, percent: int):
@@ -35,77 +39,105 @@ def least_overlap(n, percent: int):
     return -((-percent * n) // 100)
 
 
-def _hot(docs: DataFrame, size: int) -> np.ndarray:
-    """The most frequent shingles. Counts are lossy in each batch (a shingle seen once in a batch is left out): they order shingles, nothing else."""
+def _bitmap(h: np.ndarray) -> bytes:
+    odd = np.bincount((h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
-            if sets:
-                keys, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= 4
-                yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(n[often].astype(np.int64))], names=["s", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(HOT)
-    return np.sort(np.array([r["s"] for r in rows.select("s").collect()], np.int64))
+def _parts(h: np.ndarray, percent: int, bands) -> list[tuple[int, np.ndarray]]:
+    """(band, the set's part there): in its own band, and in the next one if the set has partners there."""
+    n = len(h)
+    own = next(i for i, (top, _) in enumerate(bands) if n <= top)
+    up = own + 1 < len(bands) and n * 100 >= percent * (bands[own][0] + 1)
+    return [(b, h if bands[b][1] >= 1 else h[h.view(np.uint64) < np.uint64(int(bands[b][1] * 2**64))]) for b in range(own, own + 1 + up)]
 
 
-def _bitmap(h: np.ndarray) -> bytes:
-    odd = np.bincount((h.view(np.uint64) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+def _part_rows(docs: DataFrame, size: int, percent: int, bands, least: int) -> DataFrame:
+    """(s, doc_id, band) of the parts of all sets of ``least`` shingles or more; s tells bands apart."""
+
+    def run(batches):
+        for b in batches:
+            s, doc, band = [np.zeros(0, np.int64)], [], []
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = shingle_set(text, size)
+                if len(h) >= least:
+                    for i, part in _parts(h, percent, bands):
+                        s.append(part + np.int64(i))
+                        doc.append((d, len(part)))
+                        band.append(i)
+            n = [k for _, k in doc]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(np.repeat(np.array([d for d, _ in doc], np.int64), n)), pa.array(np.repeat(np.array(band, np.int32), n))], names=["s", "doc_id", "band"])
+
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "s long, doc_id long, band int")
 
 
-def _signatures(docs: DataFrame, hot, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, c1, c2, prefix, bits): c1 and c2 name the set; prefix is the first n - o + 2 shingles in the global order."""
+def _signatures(docs: DataFrame, size: int, percent: int, bands) -> DataFrame:
+    """(doc_id, n, c1, c2, bits, first, b0, z0, b1, z1): c1 and c2 name the set; first is the prefix for subsets (small sets only);
+    z0 is the size of the set's part in its band b0, z1 of that in the next one if it has partners there."""
 
     def run(batches):
         import xxhash
 
-        often = hot.value
+        shape = [("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("first", pa.list_(pa.int64())), ("b0", pa.int32()), ("z0", pa.int32()), ("b1", pa.int32()), ("z1", pa.int32())]
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, size)
+                n = len(h)
                 c = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8")
-                p = min(len(h), len(h) - int(least_overlap(len(h), percent)) + 2)
-                at = np.searchsorted(often, h)
-                common = (often[np.minimum(at, len(often) - 1)] == h) if len(often) else np.zeros(len(h), bool)
-                first = np.concatenate([h[~common], h[common]])[:p]
-                rows.append((len(h), int(c[0]), int(c[1]), first, _bitmap(h)))
-            n, c1, c2, first, bits = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "c1", "c2", "prefix", "bits"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, prefix array<long>, bits binary")
-
-
-def _boundary(sets: DataFrame, percent: int) -> int:
-    """The largest size that is joined by subsets: where rows made for subsets and rows read from lists cost least together."""
-    one = sets.select("n", F.explode(F.slice("prefix", 1, F.greatest(F.lit(1), F.size("prefix") - 1))).alias("s")).where(F.pmod("s", F.lit(64)) == 0)
-    lists = one.groupBy("s").agg(F.count("*").alias("m"))
-    bin_ = F.floor(4 * F.log2(F.col("n").cast("double"))).cast("int")
-    scans = {r["b"]: r["m"] * 64 for r in one.join(lists, "s").groupBy(bin_.alias("b")).agg(F.sum("m").alias("m")).collect()}
-    sizes = {r["b"]: (r["c"], r["n"]) for r in sets.groupBy(bin_.alias("b")).agg(F.count("*").alias("c"), F.avg("n").alias("n")).collect()}
-    best, at = None, 0
-    for edge in [-1, *sorted(sizes)]:
-        cost = 0.0
-        for b, (c, n) in sizes.items():
-            p = n - least_overlap(n, percent) + 2
-            cost += c * p * (p - 1) / 2 if b <= edge else scans.get(b, 0) + c * (p - 1)
-        if best is None or cost < best:
-            best, at = cost, int(2 ** ((edge + 1) / 4)) if edge >= 0 else 0
+                parts = _parts(h, percent, bands)
+                first = h[: n - int(least_overlap(n, percent)) + 2] if n <= LIGHT else None
+                more = [(b, len(p)) for b, p in parts] + [(None, None)]
+                rows.append((n, int(c[0]), int(c[1]), _bitmap(h), first, *more[0], *more[1]))
+            cols = list(zip(*rows)) if rows else [()] * 9
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, shape))], names=["doc_id", *(n for n, _ in shape)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bits binary, first array<long>, b0 int, z0 int, b1 int, z1 int")
+
+
+def _boundary(signed: DataFrame, percent: int, bands) -> int:
+    """The largest size that is joined by subsets: where the rows made for subsets and those made for lists cost least together."""
+    sizes = {r["n"]: r["c"] for r in signed.where((F.col("n") > 3) & (F.col("n") <= LIGHT)).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    cost = at = 0
+    best = 0.0
+    for n in sorted(sizes):
+        p = n - least_overlap(n, percent) + 2
+        share = next(s for t, s in bands if n <= t)
+        cost += sizes[n] * (p * (p - 1) / 2 - 1.5 * share * n)
+        if cost <= best:
+            best, at = cost, n
     return at
 
 
-def _keys(sets: DataFrame, small: int, percent: int) -> DataFrame:
-    """(key, rep, n): what two linked sets have in common."""
-    single = F.slice("prefix", 1, F.greatest(F.lit(1), F.size("prefix") - 1))
-    pairs = F.flatten(F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.xxhash64(x, y))))
-    light = sets.where(F.col("n") <= small).select(F.explode(pairs).alias("key"), "rep", "n")
-    heavy = sets.where(F.col("n") * 100 >= percent * (small + 1)).select(F.explode(single).alias("key"), "rep", "n")
-    return light.unionByName(heavy) if small > 1 else heavy
+def _keys(signed: DataFrame, rows: DataFrame, reps: DataFrame, small: int, percent: int) -> DataFrame:
+    """(key, rep, n, near): what two linked sets have in common; near: it counts if the set is the smaller of the two."""
+    pairs = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(x, y))))
+    light = signed.where((F.col("n") > 3) & (F.col("n") <= small)).select(F.col("doc_id").alias("rep"), "c1", "c2", "n", F.explode(pairs).alias("key"))
+    light = light.join(reps, ["rep", "c1", "c2"], "left_semi").select("key", "rep", "n", F.lit(True).alias("near"))
+    shared = rows.repartition("s").sortWithinPartitions("s").mapInArrow(_shared, "doc_id long, band int, df int, s long")
+    # The sets that have shared shingles, with these from the rarest on.
+    own = shared.groupBy("doc_id", "band").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    known = signed.where("n > 3").join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "c1", "c2"], "left_semi")
+    known = known.select("doc_id", "n", F.explode(F.array(F.struct(F.col("b0").alias("band"), F.col("z0").alias("size")), F.struct(F.col("b1").alias("band"), F.col("z1").alias("size")))).alias("x")).where("x.band is not null")
+    found = own.join(known.select("doc_id", "n", F.col("x.band").alias("band"), F.col("x.size").alias("size")), ["doc_id", "band"])
+    alone = F.col("size") - F.size("shared")
+    larger = F.floor(F.lit(100 - percent) * F.col("n") / 100).cast("int") + 1 - alone
+    smaller = F.floor(F.lit(100 - percent) * F.col("n") / (100 + percent)).cast("int") + 1 - alone
+    first = found.where(larger > 0).select("doc_id", "n", smaller.alias("within"), F.posexplode(F.slice("shared", 1, larger)).alias("i", "x"))
+    heavy = first.select(F.col("x.s").alias("key"), F.col("doc_id").alias("rep"), "n", (F.col("i") < F.col("within")).alias("near"))
+    return light.unionByName(heavy)
+
+
+def _shared(batches):
+    """Rows (s, doc_id, band) in order -> (doc_id, band, df, s) of every s that two rows or more have."""
+    for t in _grouped(batches, 1):
+        s = t.column(0).to_numpy()
+        new = np.r_[True, s[1:] != s[:-1]]
+        n = np.diff(np.r_[np.flatnonzero(new), len(s)])[np.cumsum(new) - 1]
+        keep = n > 1
+        if keep.any():
+            some = t.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(n[keep].astype(np.int32)), some.column(0)], names=["doc_id", "band", "df", "s"])
 
 
 def _grouped(batches, columns: int):
@@ -126,12 +158,13 @@ def _grouped(batches, columns: int):
 
 
 def _lists(batches):
-    """Rows (key, n, rep) in order -> (key, i, j, side, rep, n) of keys with two members or more, by pairs of blocks."""
+    """Rows (key, n, rep, near) in order -> (key, i, j, side, rep, n) of keys with two members or more, one of them near, by pairs of blocks."""
     for t in _grouped(batches, 1):
         key, n, rep = (t.column(i).to_numpy() for i in range(3))
+        near = t.column(3).to_numpy(zero_copy_only=False)
         new = np.r_[True, key[1:] != key[:-1]]
         group, start = np.cumsum(new) - 1, np.flatnonzero(new)
-        m = np.diff(np.r_[start, len(key)])
+        m = np.where(np.logical_or.reduceat(near, start), np.diff(np.r_[start, len(key)]), 0)
         part = (np.arange(len(key)) - start[group]) // BLOCK
         parts = (m[group] + BLOCK - 1) // BLOCK
         one = (m[group] > 1) & (parts == 1)
@@ -153,7 +186,7 @@ def _lists(batches):
 
 
 def _pairs(batches, percent: int, cross: bool):
-    """Rows (key, i, j, side, rep, n, label, bits) in order -> (a, b, apart). ``cross``: all pairs of different labels that may link; else each rep's most alike predecessor."""
+    """Rows (key, i, j, side, rep, n, label, bits) in order -> (a, b, apart, key, i, j). ``cross``: all pairs of different labels that may link; else each rep's most alike predecessor in a list."""
     step = 200_000
 
     def fitting(x, y, n, label, bits):
@@ -201,65 +234,72 @@ def _pairs(batches, percent: int, cross: bool):
         x, y, apart = (np.concatenate(c) for c in zip(*found))
         a, b = np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])
         ok = a != b
-        a, b, apart = a[ok], b[ok], apart[ok]
-        order = np.lexsort((b, a) if cross else (b, apart, a))
-        a, b, apart = a[order], b[order], apart[order]
-        keep = np.r_[True, (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if cross else False)][: len(a)]
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(apart[keep])], names=["a", "b", "apart"])
+        a, b, apart, g = a[ok], b[ok], apart[ok], group[x[ok]]
+        order = np.lexsort((b, a) if cross else (b, apart, a, g))
+        a, b, apart, g = a[order], b[order], apart[order], g[order]
+        keep = np.r_[True, (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if cross else (g[1:] != g[:-1]))][: len(a)]
+        first = start[g[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[keep], b[keep], apart[keep], key[first], i[first], j[first])], names=["a", "b", "apart", "key", "i", "j"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose whole sets link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = ids.limit(IDS + 1).count() <= IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    few = pairs.limit(IDS + 1).count() <= IDS
+    texts = docs.join(F.broadcast(asked) if few else asked, "doc_id").select("a", "b", "doc_id", "text")
 
     def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "s"])
-
-    whole = texts.select("doc_id", "text").mapInArrow(sets, "doc_id long, s binary")
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([shingle_set(x, size).tobytes() for x in t.column(3).to_pylist()], pa.binary())], names=["a", "b", "doc_id", "s"])
 
     def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for t in _grouped(batches, 2):
+            a, b, doc = (t.column(c).to_pylist() for c in range(3))
+            held: dict[tuple, tuple[list, list]] = {}
+            for x, y, d, s in zip(a, b, doc, t.column(3).to_pylist()):
+                held.setdefault((x, y), ([], []))[int(d == y)].append(np.frombuffer(s, "<i8"))
+            good = [k for k, (xs, ys) in held.items() if any(_link(x, y, percent) for x in xs for y in ys)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in good], pa.int64()), pa.array([k[1] for k in good], pa.int64())], names=["a", "b"])
+
+    whole = texts.mapInArrow(sets, "a long, b long, doc_id long, s binary")
+    return whole.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(check, "a long, b long")
+
 
-    joined = pairs.select("a", "b").join(whole.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands=BANDS) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the smallest id with an equal set, component_id the smallest that links reach."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hot = spark.sparkContext.broadcast(_hot(docs, size))
-    signed = written(_signatures(docs, hot, size, percent), "signatures")
+    signed = written(_signatures(docs, size, percent, bands), "signatures")
+    missed = F.floor(F.lit(100 - percent) * F.col("n") / 100)
+    if any(s < 1 for _, s in bands) and signed.where((F.col("n") > 3) & ((F.col("z0") <= missed) | (F.col("z1") <= missed))).limit(1).count():
+        return near_duplicates(docs, size, percent, bands=tuple((t, 1.0) for t, _ in bands))
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    members = known.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select("doc_id", "c1", "c2", "rep")
+    classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
+    members = known.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"])
     members = written(members.distinct(), "members")
     # Sets of under four shingles link with equal ones only.
-    reps = members.where(F.col("doc_id") == F.col("rep")).select("c1", "c2", "rep").distinct()
-    sets = written(known.where(F.col("n") > 3).join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "c1", "c2"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix", "bits").dropDuplicates(["rep", "prefix"]), "sets")
-    keys = _keys(sets, _boundary(sets, percent), percent)
-    lists = written(keys.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "n", "rep").mapInArrow(_lists, "key long, i long, j long, side long, rep long, n long"), "lists")
-    bits = sets.select("rep", "n", "bits")
+    reps = members.where(F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2")
+    small = _boundary(known, percent, bands)
+    least = max(4, int(least_overlap(small + 1, percent)))
+    keys = _keys(known, _part_rows(docs, size, percent, bands, least), reps, small, percent)
+    lists = written(keys.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "n", "rep", "near").mapInArrow(_lists, "key long, i long, j long, side long, rep long, n long"), "lists")
+    bits = known.select(F.col("doc_id").alias("rep"), "n", "bits")
     place = ["key", "i", "j"]
-    shape = "a long, b long, apart long"
+    shape = "a long, b long, apart long, key long, i long, j long"
     columns = [*place, "side", "rep", "n", "label", "bits"]
     near = lists.join(bits, ["rep", "n"]).withColumn("label", F.lit(0).cast("long")).select(*columns)
-    first = near.repartition(*place).sortWithinPartitions(*place, "side", "rep").mapInArrow(lambda it: _pairs(it, percent, False), shape)
+    first = written(near.repartition(*place).sortWithinPartitions(*place, "side", "rep").mapInArrow(lambda it: _pairs(it, percent, False), shape), "first")
     best = first.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     links = written(_verified(written(best.select("a", "b"), "pairs"), docs, size, percent), "verified")
     found = components(links)
-    labelled = lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    # Lists in which some pair may link, and whose members lie in two components or more.
+    labelled = lists.join(first.select(*place).distinct(), place, "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     mixed = labelled.groupBy(*place).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*place)
     open_ = labelled.join(mixed, place, "left_semi").join(bits, ["rep", "n"]).select(*columns)
     rest = open_.repartition(*place).sortWithinPartitions(*place, "side", "rep").mapInArrow(lambda it: _pairs(it, percent, True), shape)
@@ -267,4 +307,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     found = components(links.unionByName(more))
     of = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "c1", "c2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     of = of.groupBy("doc_id", "c1", "c2").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
-    return signed.join(of, ["doc_id", "c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n", "c1", "c2").join(of, ["doc_id", "c1", "c2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
