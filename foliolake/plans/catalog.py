@@ -457,3 +457,81 @@ def word_lcs(spark, sf_dir):
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS blocks, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")
 def html_blocks(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<p>")).cast("long").alias("blocks"), F.array_join(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), " ").alias("links"))
+
+
+# --- PDF files made from the tables ---------------------------------------------------------------------------------------
+
+
+def _part_files(spark, sf_dir) -> DataFrame:
+    """A file for each part: a title, a ruled table of two rows, an e-mail address, and metadata."""
+    from ..sources.pdf import build
+
+    @F.pandas_udf("binary")
+    def made(key, name, brand, size):
+        import pandas as pd
+
+        rules = b"".join(b"%d 600 m %d 700 l S " % (x, x) for x in (100, 250, 400)) + b"".join(b"100 %d m 400 %d l S " % (y, y) for y in (600, 650, 700))
+        out = []
+        for k, n, b, s in zip(key, name, brand, size):
+            lines = [(72, 750, n, 18), (110, 670, "Brand", 12), (260, 670, "Size", 12), (110, 620, b, 12), (260, 620, str(s), 12), (72, 500, f"mail p{k}@example.com now", 12)]
+            out.append(build.simple([lines], info={"Title": n, "Author": b}, rules=[rules]))
+        return pd.Series(out)
+
+    part = read(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    return part.select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_partkey", "p_name", "p_brand", "p_size").alias("content"))
+
+
+_PARTS = "(SELECT CAST(p_partkey AS VARCHAR) AS doc_id, * FROM part WHERE p_partkey % 10 = 0)"
+
+
+@query(f"SELECT doc_id, unnest([p_name, 'Brand Size', p_brand || ' ' || CAST(p_size AS VARCHAR), 'mail p' || doc_id || '@example.com now']) AS text FROM {_PARTS}")
+def pdf_scan(spark, sf_dir):
+    from ..sources.pdf.scan import scan
+
+    return scan(_part_files(spark, sf_dir), "lines").select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, unnest([0, 0, 1, 1]) AS row_idx, unnest([0, 1, 0, 1]) AS col_idx, unnest(['Brand', 'Size', p_brand, CAST(p_size AS VARCHAR)]) AS text FROM {_PARTS}")
+def pdf_tables(spark, sf_dir):
+    from ..sources.pdf.scan import scan
+
+    return scan(_part_files(spark, sf_dir), "table_cells").select("doc_id", "row_idx", "col_idx", "text")
+
+
+@query(f"SELECT doc_id, p_name AS title, p_brand AS author FROM {_PARTS}")
+def pdf_metadata(spark, sf_dir):
+    from ..sources.pdf.scan import scan
+
+    return scan(_part_files(spark, sf_dir), "metadata").select("doc_id", "title", "author")
+
+
+@query(f"SELECT doc_id, CAST(0 AS BIGINT) AS emails, 'mail' AS before, 'now' AS after FROM {_PARTS}")
+def pdf_redact_email(spark, sf_dir):
+    """E-mail addresses taken out of the files; then the files are read again."""
+    import re
+
+    from ..operators.documents import change
+    from ..sources.pdf.scan import scan
+
+    clean = change(_part_files(spark, sf_dir), "redact_pattern", re.compile(r"[\w.]+@[\w.]+"), label="")
+    lines = scan(clean.select("doc_id", "content"), "paragraphs").where(F.col("text").startswith("mail"))
+    word = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    return lines.select("doc_id", F.size(P.email(F.col("text"))).cast("long").alias("emails"), word[0].alias("before"), F.element_at(word, -1).alias("after"))
+
+
+@query(f"SELECT doc_id, '# ' || p_name AS first_line FROM {_PARTS}")
+def pdf_markdown(spark, sf_dir):
+    from ..operators.documents import export_as
+
+    md = export_as(_part_files(spark, sf_dir), "markdown")
+    return md.select("doc_id", F.regexp_replace(F.substring_index(F.decode("content", "utf-8"), "\n", 1), "^#+ ", "# ").alias("first_line"))
+
+
+@query(f"SELECT CAST(p_size AS INT) AS k, CAST(count(*) AS INT) AS n_pages FROM {_PARTS} GROUP BY p_size")
+def pdf_merge(spark, sf_dir):
+    from ..operators.documents import merge
+    from ..sources.pdf.scan import scan
+
+    sizes = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_size").alias("k"))
+    whole = merge(_part_files(spark, sf_dir).join(sizes, "doc_id"), ["k"], ["doc_id"])
+    return scan(whole.select(F.col("k").cast("string").alias("doc_id"), "content"), "documents").select(F.col("doc_id").cast("int").alias("k"), "n_pages")
