@@ -25,6 +25,7 @@ TABLES = {
     "images": f"page_index int, seq int, obj_num int, resource string, width_px int, height_px int, color_space string, bits int, filter string, byte_size long, bbox {_BOX}, ctm array<double>",
     "scans": "page_index int, obj_num int",
     "form_fields": f"obj_num int, name string, alt_name string, field_type string, value string, default_value string, rect {_BOX}, page_number int, options array<string>, flags int, is_read_only boolean, is_required boolean, is_multiline boolean, max_length int",
+    "form_candidates": f"page_index int, page_number int, candidate_id int, field_type string, suggested_name string, label string, rect {_BOX}, confidence double",
     "annotations": f"page_index int, obj_num int, subtype string, rect {_BOX}, color array<double>, opacity double, contents string, link_uri string, link_page int, stamp string, date string, border_width double, fill array<double>, points array<array<double>>, line_ending string",
     "outlines": "path array<int>, title string, page_number int, top double, left double, zoom double, uri string, is_open boolean, bold boolean, italic boolean, color array<double>",
     "attachments": "name string, filename string, mime string, size long, description string, created string, modified string, md5 string, sha256 string, origin string, page_number int, data binary",
@@ -122,6 +123,11 @@ def _page_rows(doc, page, pages, i, table, extract, fonts, layout):
     elif table == "annotations":
         for a in extract.annotations(doc, page, pages):
             yield a | {"rect": _box(a["rect"])}
+    elif table == "form_candidates":
+        from .detect import candidates
+
+        for c in candidates(doc, i):
+            yield c | {"rect": _box(c["rect"])}
     elif table == "ops":
         depth = 0
         for k, (op, args) in enumerate(layout.operations(doc.content(page))):

@@ -333,3 +333,15 @@ def test_document_operators(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from paras where status.code = 'OK'").first()[0] == 3
+
+
+def test_form_detection():
+    from foliolake.sources.pdf import detect
+
+    rules = b"150 500 m 300 500 l S 150 450 200 20 re S 72 400 12 12 re S 72 300 300 60 re S "
+    d = doc([[(72, 503, "Full name:", 12), (60, 455, "Signature ___", 12), (90, 402, "I agree", 12)]], rules=[rules])
+    found = detect.candidates(d, 0)
+    assert [(c["field_type"], c["label"], c["confidence"]) for c in found] == [("text", "Full name", 0.88), ("signature", "Signature", 0.92), ("checkbox", "I agree", 0.9), ("text", None, 0.65)]
+    assert detect.apply(d, 0) == 4 and detect.candidates(d, 0) == []
+    own = {f["name"]: f for f in extract.form_fields(again(d))}
+    assert {"FullName", "Signature", "IAgree"} <= set(own) and sum(f["is_multiline"] for f in own.values()) == 1
