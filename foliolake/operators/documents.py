@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.pdf import crypto, edit, export
+from ..sources.pdf import conform, crypto, detect, edit, export, raster
 from ..sources.pdf.cos import Document, PdfError
 
 _STATUS = "struct<content:binary,status:struct<code:string,message:string>>"
@@ -95,3 +95,44 @@ def export_as(files: DataFrame, kind: str, password: str = "") -> DataFrame:
         return out.encode() if isinstance(out, str) else out
 
     return _mapped(files, run)
+
+
+def to_archive(files: DataFrame, part: int = 1) -> DataFrame:
+    """PDF/A copies; documents that can't be made to conform keep a status that says why."""
+    return _mapped(files, lambda data: conform.to_archive(_opened(data, ""), part).save())
+
+
+def tag(files: DataFrame, language: str = "en") -> DataFrame:
+    """Documents with a structure tree (structural only)."""
+
+    def run(data):
+        doc = _opened(data, "")
+        conform.tag(doc, language=language)
+        return doc.save()
+
+    return _mapped(files, run)
+
+
+def add_detected_fields(files: DataFrame) -> DataFrame:
+    def run(data):
+        doc = _opened(data, "")
+        for i in range(len(doc.pages())):
+            detect.apply(doc, i)
+        return doc.save()
+
+    return _mapped(files, run)
+
+
+def render(files: DataFrame, kind: str = "png", dpi: float = 144) -> DataFrame:
+    """(columns, page_index, picture) of every page."""
+
+    @F.pandas_udf("array<binary>")
+    def run(content):
+        def pages(data):
+            doc = _opened(data, "")
+            return [raster.render(doc, i, kind, dpi) for i in range(len(doc.pages()))]
+
+        return content.map(pages)
+
+    kept = [c for c in files.columns if c != "content"]
+    return files.select(*kept, F.posexplode(run("content")).alias("page_index", "picture"))

@@ -491,6 +491,15 @@ def pdf_scan(spark, sf_dir):
     return scan(_part_files(spark, sf_dir), "lines").select("doc_id", "text")
 
 
+@query(f"SELECT doc_id, unnest([p_name, 'Brand Size', p_brand || ' ' || CAST(p_size AS VARCHAR), 'mail p' || doc_id || '@example.com now']) AS text FROM {_PARTS}")
+def pdf_lines_from_glyphs(spark, sf_dir):
+    """Glyphs read from the files; spans and lines by windows and folds."""
+    from ..operators import layout
+    from ..sources.pdf.scan import scan
+
+    return layout.lines(layout.spans(scan(_part_files(spark, sf_dir), "glyphs"))).select("doc_id", "text")
+
+
 @query(f"SELECT doc_id, unnest([0, 0, 1, 1]) AS row_idx, unnest([0, 1, 0, 1]) AS col_idx, unnest(['Brand', 'Size', p_brand, CAST(p_size AS VARCHAR)]) AS text FROM {_PARTS}")
 def pdf_tables(spark, sf_dir):
     from ..sources.pdf.scan import scan

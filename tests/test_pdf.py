@@ -345,3 +345,59 @@ def test_form_detection():
     assert detect.apply(d, 0) == 4 and detect.candidates(d, 0) == []
     own = {f["name"]: f for f in extract.form_fields(again(d))}
     assert {"FullName", "Signature", "IAgree"} <= set(own) and sum(f["is_multiline"] for f in own.values()) == 1
+
+
+def test_conformance_and_appending():
+    from foliolake.sources.pdf import conform
+
+    d = doc(info={"Title": "T"})
+    out = conform.tag(d)
+    assert out["issues"] == [] and [e["struct_type"] for e in extract.structure(again(d))] == ["Document", "Sect", "P", "H1", "Sect", "P"]
+    with pytest.raises(PdfError) as e:
+        conform.to_archive(doc())
+    assert "FONT_NOT_EMBEDDED" in str(e.value)
+    d = doc()
+    for p in d.pages():
+        for f in d.dict_of(d.dict_of(d.inherited(p, "Resources"))["Font"]).values():
+            d.dict_of(f)[Name("FontDescriptor")] = {Name("FontFile2"): d.add(Stream({}, b"x"))}
+    edit.add_attachment(d, "a.txt", b"x")
+    done = again(conform.to_archive(d, 1))
+    assert extract.archive_issues(done, 1) == [] and len(conform.srgb_profile()) % 4 == 0
+    raw = edit.attest(doc(), "Ann")
+    d = Document.load(raw)
+    edit.set_rotation(d, 0, 90)
+    more = conform.save_appended(d)
+    assert more.startswith(raw) and extract.rotation(Document.load(more), Document.load(more).pages()[0]) == 90 and texts(Document.load(more)) == texts(doc())
+
+
+def test_pictures():
+    import numpy as np
+
+    from foliolake.sources.pdf import raster
+
+    d = doc([[(10, 50, "Text", 12)]], rules=[b"1 0 0 rg 0 0 50 20 re f 0 0 1 RG 0 40 m 100 40 l S "])
+    edit.set_box(d, 0, "crop", [0, 0, 100, 80])
+    px, missed = raster.paint(d, 0, 72)
+    assert px.shape == (80, 100, 3) and tuple(px[70, 10]) == (255, 0, 0) and tuple(px[10, 90]) == (255, 255, 255) and tuple(px[39, 80]) == (0, 0, 255)
+    assert (px[22:30, 10:40] == 0).all(2).any() and missed["paths"] == 0
+    w, h, raw, _ = extract.png_pixels(raster.render(d, 0, "png", 72))
+    assert np.array_equal(np.frombuffer(raw, np.uint8).reshape(h, w, 3), px) and raster.render(d, 0, "tiff", 72)[:4] == b"II*\0"
+    for bad in (10, 400):
+        with pytest.raises(PdfError):
+            raster.paint(d, 0, bad)
+
+
+def test_layout_in_sql_equals_the_readers(spark):
+    from foliolake.operators import layout as L
+
+    pages = [[(72, 700 - 14 * i, f"line {i} of it", 12) for i in range(4)] + [(300, 700, "beside", 12), (340.0, 700.5, "it", 12), (72, 500, "HEAD", 20), (72, 478, "small", 9), (90, 466, "two", 9), (300, 455, "off", 9)], [(72, 700, "x", 12)]]
+    files = spark.createDataFrame([("a", bytearray(build.simple(pages))), ("b", bytearray(build.simple(TWO)))], "doc_id string, content binary")
+    spans = L.spans(scan.scan(files, "glyphs"))
+    lines = L.lines(spans)
+
+    def show(df, *cols):
+        return sorted((r["doc_id"], r["page_index"], *(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in cols)) for r in df.collect())
+
+    assert sorted(x[:3] for x in show(spans, "text")) == sorted(x[:3] for x in show(scan.scan(files, "spans"), "text"))
+    assert show(lines, "line_id", "text", "baseline_y") == show(scan.scan(files, "lines"), "line_id", "text", "baseline_y")
+    assert show(L.paragraphs(lines), "paragraph_id", "text", "line_count", "leading") == show(scan.scan(files, "paragraphs"), "paragraph_id", "text", "line_count", "leading")
