@@ -49,3 +49,21 @@ def label_of(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFram
     """One 0/1 label for each id: the mean of its non-null labels, at least 0.5; ids without one are left out."""
     known = labels.where(F.col(column).isNotNull() & F.col(id_col).isNotNull())
     return known.groupBy(id_col).agg((F.avg(column) >= 0.5).cast("int").alias("y"))
+
+
+#: In a Python worker: how to empty what each operator remembers, and which one ran last.
+_memories: dict = {}
+_last: list = [None]
+
+
+def remembers(name: str, clear) -> None:
+    _memories[name] = clear
+
+
+def entered(name: str) -> None:
+    """Workers outlive stages: empties what other operators remember when one starts."""
+    if _last[0] != name:
+        for other, clear in _memories.items():
+            if other != name:
+                clear()
+        _last[0] = name
