@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import entered
 from .shingles import _mixed, _words
 
 #: Items of a pass; words below which an item must occur exactly; sampled positions of a repetition.
@@ -27,6 +28,7 @@ _TABLE = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
 def word_ids(text: str | None) -> np.ndarray:
+    entered("shingles")
     ws = (text or "").lower().encode().translate(_TABLE).split()
     return np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws))
 
@@ -50,7 +52,7 @@ def walk(windows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     for t in range(3 * n):
         x = padded[row, at]
         out[:, :, t] = x
-        step = _mixed((x ^ seeds[None, :]) + np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)
+        step = _mixed((x ^ seeds[None, :]) + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(1)
         at = np.minimum(at + step.astype(np.int64), n)
     return out
 

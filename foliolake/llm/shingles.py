@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import entered, remembers
+
 #: Words whose hashes a worker remembers before it starts afresh.
-MEMO = 600_000
+MEMO = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -20,6 +22,7 @@ class _Words(dict):
 
 
 _words = _Words()
+remembers("shingles", _words.clear)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -35,6 +38,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes (int64) of a text's word shingles; with fewer words, of the whole sequence; without words, none."""
+    entered("shingles")
     ws = words(text)
     n = len(ws)
     if not n:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import entered, remembers
+
 #: The pattern of byte-level pre-tokenisation.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that a worker's memory of pretokens keeps in each of two generations.
@@ -185,10 +187,12 @@ class PrefixTable:
 
 
 _counters: dict[str, PrefixCounter] = {}
+remembers("token_counts", _counters.clear)
 
 
 def counter(path: str) -> PrefixCounter:
     """One for each worker process and file."""
+    entered("token_counts")
     if path not in _counters:
         _counters[path] = PrefixCounter(path)
     return _counters[path]
