@@ -454,6 +454,22 @@ def word_lcs(spark, sf_dir):
     return turns.select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", F.round("d.likeness", 6).alias("likeness"), F.size("d.words").alias("words"))
 
 
+@query()
+def reflow(spark, sf_dir):
+    """Turns broken into lines of at most 300 points."""
+    from ..sources.pdf.edit import reflow as flow
+    from ..sources.pdf.edit import width_of
+
+    @F.pandas_udf("struct<lines:int,widest:double>")
+    def run(text):
+        import pandas as pd
+
+        own = [flow(t or "", 300.0, lambda x: width_of(x, 12.0)) for t in text]
+        return pd.DataFrame({"lines": [len(x) for x in own], "widest": [max((y["width"] for y in x), default=0.0) for x in own]})
+
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", run("text").alias("r")).select("conv_id", "turn", "r.lines", "r.widest")
+
+
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS blocks, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")
 def html_blocks(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<p>")).cast("long").alias("blocks"), F.array_join(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), " ").alias("links"))
