@@ -7,7 +7,7 @@ with the item are embedded: ``k`` edits spoil at most ``3 k`` of its ``n - 2`` t
 
 Defined cases. Words are lower-cased runs of letters and digits. A null or empty document matches nothing, nor does a null or empty item. Items of under ``SHORT``
 words must occur exactly, and those of under three words are left out. Items that repeat are reported under each id. Repeated rows and null ids of documents are
-reported as they come. Extra columns are ignored. Items go to the workers in groups of at most ``ITEMS``; more of them take more passes.
+reported as they come. Extra columns are ignored. Items go to the workers in groups of at most about ``ITEMS`` and ``CHARS``; more of them take more passes.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import entered
 from .shingles import _mixed, _words
 
-#: Items of a pass; words below which an item must occur exactly; sampled positions of a repetition.
-ITEMS, SHORT, POSITIONS = 20_000, 8, 2
+#: Items of a pass, and about how many characters of them; words below which an item must occur exactly; sampled positions of a repetition.
+ITEMS, CHARS, SHORT, POSITIONS = 20_000, 40_000_000, 8, 2
 _TABLE = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -180,7 +180,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall:
     """(doc_id, item_id, distance) of every document and item of which a window is within ``rate`` times the item's words."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    groups = max(1, math.ceil(items.count() / (ITEMS * 0.8)))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    groups = max(1, math.ceil(size["n"] / (ITEMS * 0.8)), math.ceil(size["chars"] / CHARS))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     for g in range(groups):

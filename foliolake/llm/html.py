@@ -13,6 +13,7 @@ Pages are scanned whole. Ids and addresses, null or repeated, are carried as the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -39,8 +40,9 @@ _WORD = re.compile(r"[a-z]+")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # element names from the root
-    marks: tuple[str, ...]  # words of classes, ids and roles on the path
+    tag: str  # the nearest element that isn't inline
+    above: frozenset[str]  # names of the elements around it
+    marks: frozenset[str]  # words of their classes, ids and roles
     linked: float  # share of the text inside links
 
 
@@ -49,6 +51,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_, marked = Counter(), Counter()  # how many of each element and mark are open
     text: list[str] = []
     linked, size, links = 0, 0, 0
 
@@ -57,7 +60,8 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append(Block(whole, tuple(n for n, _ in stack if n not in INLINE), tuple(w for _, m in stack for w in m), linked / max(size, 1)))
+                tag = next((n for n, _ in reversed(stack) if n not in INLINE), "")
+                out.append(Block(whole, tag, frozenset(open_.keys() - INLINE), frozenset(marked), linked / max(size, 1)))
         text, linked, size = [], 0, 0
 
     def say(raw: str):
@@ -68,14 +72,31 @@ def blocks(page: str | None) -> list[Block]:
             size += len(t)
             linked += len(t) * (links > 0)
 
+    def push(name: str, marks: tuple[str, ...]):
+        stack.append((name, marks))
+        open_[name] += 1
+        marked.update(marks)
+
+    def drop(i: int):
+        """Takes an element off the stack."""
+        nonlocal links
+        name, marks = stack.pop(i)
+        links -= name == "a"
+        for held, keys in ((open_, (name,)), (marked, marks)):
+            for k in keys:
+                held[k] -= 1
+                if not held[k]:
+                    del held[k]
+
     def pop(names, limit=None):
         """Closes open elements down to the last of ``names``, if one is open above ``limit``."""
-        nonlocal links
+        if not any(n in open_ for n in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 close()
-                links -= sum(n == "a" for n, _ in stack[i:])
-                del stack[i:]
+                while len(stack) > i:
+                    drop(-1)
                 return
             if limit and stack[i][0] in limit:
                 return
@@ -91,12 +112,11 @@ def blocks(page: str | None) -> list[Block]:
             if name in INLINE:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        links -= name == "a"
-                        del stack[i]
+                        drop(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            elif name == "p" and not any(n == "p" for n, _ in stack):
+            elif name == "p" and "p" not in open_:
                 close()
             else:
                 pop((name,))
@@ -124,24 +144,21 @@ def blocks(page: str | None) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if name not in _SKIPPED and end:
                 close()
-                stack.append((name, marks))
+                push(name, marks)
                 say(re.sub(r"<[^>]*>", " ", page[at : end.start()]))
                 close()
-                stack.pop()
+                drop(-1)
             at = end.end() if end else len(page)
             continue
         if name not in INLINE:
             close()
             # Inline elements left open don't reach into the next block.
             while stack and stack[-1][0] in INLINE:
-                links -= stack[-1][0] == "a"
-                stack.pop()
+                drop(-1)
             if name in CLOSES:
                 pop(CLOSES[name], ("ul", "ol", "dl", "table", "article", "section", "div", "body", "td", "th") if name != "tr" else ("table",))
-        stack.append((name, marks))
+        push(name, marks)
         links += name == "a"
-        if name == "a" and links > 1:
-            links = 1
     say(page[at:])
     close()
     return out
@@ -152,8 +169,8 @@ def features(found: list[Block]) -> list[list[str]]:
     n = len(found)
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
-        x = ["bias", f"words{min(6, words.bit_length())}", f"linked{int(b.linked * 3.99)}", f"tag={b.path[-1] if b.path else ''}"]
-        x += {f"in={t}" for t in b.path} | {f"mark={w}" for w in b.marks}
+        x = ["bias", f"words{min(6, words.bit_length())}", f"linked{int(b.linked * 3.99)}", f"tag={b.tag}"]
+        x += [f"in={t}" for t in b.above] + [f"mark={w}" for w in b.marks]
         if b.text[-1] in ".!?…":
             x.append("sentence")
         if "©" in b.text or "(c)" in b.text.lower():

@@ -42,23 +42,25 @@ def tokens(text: str | None) -> list[bytes]:
 
 def segments(scores) -> list[tuple[int, int, float]]:
     """Every maximal scoring segment (start, end, sum) of a sequence, in one pass."""
-    found: list[list] = []  # start, end, sum before it, sum up to its end
+    # start, end, sum before it, sum up to its end, the nearest earlier one with a smaller sum before it
+    found: list[list] = []
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        now = [i, i + 1, before, total]
+        now = [i, i + 1, before, total, -1]
         while found:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
+                j = found[j][4]
+            now[4] = j
             if j < 0 or found[j][3] >= now[3]:
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
+            now = [found[j][0], now[1], found[j][2], now[3], found[j][4]]
             del found[j:]
         found.append(now)
-    return [(a, b, up - low) for a, b, low, up in found]
+    return [(a, b, up - low) for a, b, low, up, _ in found]
 
 
 @dataclass
