@@ -133,3 +133,59 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_sentencepiece": op3_sentencepiece}
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+      FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p WHERE 100 * i >= 80 * (na + nb - i)),
+both_ways AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, y AS seen FROM both_ways UNION SELECT r.doc_id, b.y FROM r JOIN both_ways b ON r.seen = b.x)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, CAST(least(s.doc_id, coalesce(m, s.doc_id)) AS BIGINT) AS component_id
+FROM s LEFT JOIN (SELECT doc_id, min(seen) AS m FROM r GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
+ORACLES |= {"op2_ngram_jaccard": OP2_SQL}
+
+#: The query's parameters (a budget of 2048, 256 tokens and 4 turns of history) and its template's lengths stand in the SQL as numbers.
+OP7_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS n,
+         len(regexp_replace(regexp_replace(text, '(<\\*)(/?s>)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g'))
+           + CASE WHEN role = 'assistant' THEN 4 ELSE 6 + len(role) + 1 + 7 END AS chars
+  FROM c),
+u AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM t),
+v AS (
+  SELECT *, upto - n AS before, i = 1 AND role = 'system' AS is_system,
+         max(CASE WHEN i = 1 AND role = 'system' THEN upto ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM u),
+g AS (
+  SELECT conv_id, i, system AS base FROM v WHERE i = 1
+  UNION ALL
+  SELECT v.conv_id, v.i, CASE WHEN v.upto - g.base > greatest(1, 2048 - 256 - v.system) AND v.before > g.base THEN v.before ELSE g.base END
+  FROM g JOIN v ON v.conv_id = g.conv_id AND v.i = g.i + 1),
+b AS (SELECT conv_id, base, row_number() OVER (PARTITION BY conv_id ORDER BY base) - 1 AS k FROM (SELECT DISTINCT conv_id, base FROM g)),
+x AS (SELECT v.*, b.k FROM v JOIN g ON v.conv_id = g.conv_id AND v.i = g.i JOIN b ON b.conv_id = g.conv_id AND b.base = g.base),
+h AS (
+  SELECT x.conv_id, x.chars, row_number() OVER (PARTITION BY x.conv_id, b.k ORDER BY x.i DESC) AS back
+  FROM x JOIN b ON x.conv_id = b.conv_id AND NOT x.is_system AND x.k < b.k AND b.k <= x.k + 4 AND b.base - x.before <= 256),
+extra AS (
+  SELECT conv_id, sum(chars) AS chars FROM (
+    SELECT conv_id, chars FROM h WHERE back <= 4
+    UNION ALL SELECT b.conv_id, 3 FROM b
+    UNION ALL SELECT x.conv_id, x.chars FROM x JOIN b ON x.conv_id = b.conv_id AND x.is_system AND b.k > 0) GROUP BY conv_id)
+SELECT x.conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(x.chars) + any_value(extra.chars) AS BIGINT) AS formatted_chars
+FROM x JOIN extra ON x.conv_id = extra.conv_id GROUP BY x.conv_id
+"""
+ORACLES |= {"op7_chat_format": OP7_SQL}
