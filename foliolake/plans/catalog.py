@@ -450,7 +450,7 @@ def word_lcs(spark, sf_dir):
     """How alike a conversation's turns are to the ones before them."""
     own = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(own)).where("before is not null")
-    d = compare.word_diff(F.substring("before", 1, 400), F.substring("text", 1, 400))
+    d = compare.word_diff(F.col("before"), F.col("text"))
     return turns.select("conv_id", "turn", d.alias("d")).select("conv_id", "turn", F.round("d.likeness", 6).alias("likeness"), F.size("d.words").alias("words"))
 
 

@@ -31,3 +31,10 @@ def equal(spark, duck, name, sql):
 @pytest.mark.parametrize("name", PDF)
 def test_every_part_has_a_file(spark, duck, name):  # noqa: F811
     equal(spark, duck, name, PDF[name])
+
+
+def test_turns_are_compared_to_their_ends(spark, tmp_path):
+    same = "word " * 100
+    spark.createDataFrame([(1, 0, "user", same + "one"), (1, 1, "user", same + "two")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = entry.queries()["word_lcs"](spark, str(tmp_path)).first()
+    assert r["likeness"] == round(200 / 202, 6) and r["words"] == 102
