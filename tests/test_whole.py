@@ -38,3 +38,7 @@ def test_turns_are_compared_to_their_ends(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", same + "one"), (1, 1, "user", same + "two")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     r = entry.queries()["word_lcs"](spark, str(tmp_path)).first()
     assert r["likeness"] == round(200 / 202, 6) and r["words"] == 102
+
+
+def test_every_order_is_exported(spark, duck):  # noqa: F811
+    equal(spark, duck, "table_csv", "SELECT o_orderstatus, string_agg(CAST(o_orderkey AS VARCHAR) || ',' || o_orderpriority, chr(13) || chr(10) ORDER BY o_orderkey) AS csv FROM orders GROUP BY o_orderstatus")
