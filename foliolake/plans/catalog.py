@@ -146,7 +146,7 @@ def search_snippet(spark, sf_dir):
 
 @query("SELECT doc_id, CAST((len(f) - len(replace(f, 'ss', ''))) / 2 AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS f FROM documents WHERE lang = 'de')")
 def search_ignore_case(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("lang = 'de'")
+    docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(search.spans_folded(F.col("text"), "SS")).cast("long").alias("n"))
 
 
@@ -234,7 +234,7 @@ def pdf_date(spark, sf_dir):
 
 @query("SELECT doc_id, 'Page ' || CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR) || ' of ' || CAST((SELECT count(*) FROM documents WHERE source = 'src1') AS VARCHAR) AS label FROM documents WHERE source = 'src1'")
 def bates_label(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", "source")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     own = Window.partitionBy("source")
     return docs.select("doc_id", T.page_label("Page {page} of {total}", F.row_number().over(own.orderBy("doc_id")), F.count("*").over(own)).alias("label"))
 
@@ -397,7 +397,7 @@ def split_chunks(spark, sf_dir):
 
 @query("SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS page_index, role FROM conversations WHERE conv_id < 50")
 def merge_renumber(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where("conv_id < 50").withColumnRenamed("turn", "page_index")
+    c = read(spark, sf_dir, "conversations").withColumnRenamed("turn", "page_index")
     return pages.merge([c], "conv_id").select("conv_id", "page_index", "role")
 
 
