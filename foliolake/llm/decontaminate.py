@@ -1,9 +1,7 @@
 """Benchmark items inside documents, within an edit distance in words.
 
-Windows of an item's size are embedded by a CGK random walk, which turns edit distance into Hamming distance; a window and an item meet if
-sampled positions of their embeddings agree in one of several repetitions, whose number is set from measured agreement so that the target recall is
-reached; the survivors are checked by exact edit distance over the whole region. Only windows that share enough word trigrams
-with the item are embedded: ``k`` edits spoil at most ``3 k`` of its ``n - 2`` trigrams, so this loses nothing.
+Where an item can occur is told by word trigrams: ``k`` edits spoil at most ``3 k`` of its ``n - 2`` trigrams, so only stretches of a document that share
+the others with it are looked at, which loses nothing. Each of them is settled by exact edit distance over the whole region.
 
 Defined cases. Words are lower-cased runs of letters and digits. A null or empty document matches nothing, nor does a null or empty item. Items of under ``SHORT``
 words must occur exactly, and those of under three words are left out. Items that repeat are reported under each id. Repeated rows and null ids of documents are
@@ -22,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import entered
 from .shingles import _mixed, _words
 
-#: Items of a pass, and about how many characters of them; words below which an item must occur exactly; sampled positions of a repetition.
-ITEMS, CHARS, SHORT, POSITIONS = 20_000, 40_000_000, 8, 2
+#: Items of a pass, and about how many characters of them; words below which an item must occur exactly.
+ITEMS, CHARS, SHORT = 20_000, 40_000_000, 8
 _TABLE = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -42,21 +40,6 @@ def edits(n: int, rate: float) -> int:
     return int(rate * n) if n >= SHORT else 0
 
 
-def walk(windows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """CGK embeddings (windows, seeds, 3 n) of equally long rows of word ids; past the end stands 0."""
-    count, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], 1)
-    at = np.zeros((count, len(seeds)), np.int64)
-    row = np.arange(count)[:, None]
-    out = np.empty((count, len(seeds), 3 * n), np.uint64)
-    for t in range(3 * n):
-        x = padded[row, at]
-        out[:, :, t] = x
-        step = _mixed((x ^ seeds[None, :]) + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(1)
-        at = np.minimum(at + step.astype(np.int64), n)
-    return out
-
-
 def distance(item: np.ndarray, region: np.ndarray) -> int:
     """The least edit distance in words between the item and any window of the region."""
     before = np.zeros(len(region) + 1, np.int64)
@@ -72,7 +55,7 @@ def distance(item: np.ndarray, region: np.ndarray) -> int:
 class Items:
     """What a worker needs of a group of items."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], rate: float, recall: float):
+    def __init__(self, ids: list[int], words: list[np.ndarray], rate: float):
         self.ids, self.words, self.rate = ids, words, rate
         grams = [_trigrams(w) for w in words]
         all_ = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -83,45 +66,6 @@ class Items:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.need = np.array([max(1, len(w) - 2 - 3 * edits(len(w), rate)) for w in words], np.int64)
-        agree = self.agreement()
-        runs = 1 if agree >= 1 else min(64, math.ceil(math.log(1 - recall) / math.log(1 - max(agree, 0.05) ** POSITIONS)))
-        rng = np.random.default_rng(7)
-        self.seeds = rng.integers(1, 2**63, runs).astype(np.uint64)
-        self.sample = rng.random((runs, POSITIONS))
-        self.keys = [self.key(w[None, :])[0] for w in words]
-
-    def agreement(self) -> float:
-        """The share of embedding positions that agree after the most edits allowed, over some items: a low quantile."""
-        rng = np.random.default_rng(11)
-        found = []
-        for w in self.words[:48]:
-            k = edits(len(w), self.rate)
-            if not k:
-                continue
-            x = list(w)
-            for kind in rng.integers(0, 3, k):
-                p = int(rng.integers(0, len(x)))
-                if kind == 0:
-                    x[p] = np.uint64(rng.integers(1, 2**63))
-                elif kind == 1:
-                    x.insert(p, np.uint64(rng.integers(1, 2**63)))
-                elif len(x) > 1:
-                    del x[p]
-            y = np.zeros(len(w), np.uint64)
-            y[: min(len(w), len(x))] = x[: len(w)]
-            seeds = rng.integers(1, 2**63, 16).astype(np.uint64)
-            a, b = walk(w[None, :], seeds), walk(y[None, :], seeds)
-            found.append(float(((a == b) & ((a != 0) | (b != 0))).mean()))
-        return float(np.quantile(found, 0.1)) if found else 1.0
-
-    def key(self, windows: np.ndarray) -> np.ndarray:
-        """(windows, repetitions): hashes of the sampled positions. Positions are drawn from the first 2 n: further on most walks have ended."""
-        out = walk(windows, self.seeds)
-        at = (self.sample * 2 * windows.shape[1]).astype(np.int64)
-        h = np.zeros(out.shape[:2], np.uint64)
-        for j in range(POSITIONS):
-            h = _mixed(h + out[:, np.arange(len(self.seeds)), at[:, j]] * np.uint64(0xD6E8FEB86659FD93))
-        return h
 
     def matches(self, doc: np.ndarray) -> list[tuple[int, int]]:
         """(item id, distance) of the items that a document holds."""
@@ -150,11 +94,10 @@ class Items:
                 if y - x < self.need[i]:
                     continue
                 starts = np.unique(s[x:y])
-                if self.meets(doc, i, starts):
-                    region = doc[max(0, int(starts[0]) - k) : int(starts[-1]) + len(w) + k]
-                    apart = distance(w, region)
-                    if apart <= k:
-                        out.append((self.ids[i], apart))
+                region = doc[max(0, int(starts[0]) - k) : int(starts[-1]) + len(w) + k]
+                apart = distance(w, region)
+                if apart <= k:
+                    out.append((self.ids[i], apart))
         best: dict[int, int] = {}
         for i, apart in out:
             best[i] = min(apart, best.get(i, apart))
@@ -165,18 +108,8 @@ class Items:
         at = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
         return zip(at[:-1], at[1:])
 
-    def meets(self, doc: np.ndarray, i: int, starts: np.ndarray, most: int = 64) -> bool:
-        n = len(self.words[i])
-        for a in range(0, len(starts), most):
-            at = starts[a : a + most, None] + np.arange(n)
-            inside = (at >= 0) & (at < len(doc))
-            windows = np.where(inside, doc[np.clip(at, 0, len(doc) - 1)], np.uint64(0))
-            if (windows == self.words[i]).all(1).any() or (self.key(windows) == self.keys[i]).any():
-                return True
-        return False
-
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance) of every document and item of which a window is within ``rate`` times the item's words."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -187,7 +120,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall:
     for g in range(groups):
         rows = [(r["item_id"], word_ids(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).orderBy("item_id").collect()]
         rows = [(i, w) for i, w in rows if len(w) >= 3]
-        held = spark.sparkContext.broadcast(Items([i for i, _ in rows], [w for _, w in rows], rate, recall))
+        held = spark.sparkContext.broadcast(Items([i for i, _ in rows], [w for _, w in rows], rate))
 
         def run(batches, held=held):
             known = held.value
