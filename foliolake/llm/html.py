@@ -6,7 +6,7 @@ trained by gradient ascent on the likelihood of labelled pages, and each page is
 known main blocks unless others are given; see ``made_pages``.
 
 Defined cases. A null or empty page has the empty text. Unclosed and stray tags, cut-off pages and cut-off character references are
-read as they stand. All kinds of white space, ``<br>`` included, become one space inside a block; blocks without other text are left out.
+read as they stand; script and style without an end go on to the end of the page. All kinds of white space, ``<br>`` included, become one space inside a block; blocks without other text are left out.
 Pages are scanned whole. Ids and addresses, null or repeated, are carried as they come; extra columns are ignored.
 """
 
@@ -23,13 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Elements of other vocabularies, which ``/>`` closes.
+FOREIGN = frozenset("svg g path rect circle ellipse line polyline polygon text tspan textpath use symbol defs math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mspace msub msup msubsup munder mover munderover mtable mtr mtd mpadded mphantom mfenced menclose semantics annotation".split())
 #: Elements that stand inside a line of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = FOREIGN | frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't markup.
-RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript template svg math select option button object canvas audio video".split())
-_SKIPPED = RAW - {"textarea", "title", "button", "select", "option"}
+RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
+_SKIPPED = RAW - {"textarea", "title", "xmp"}
+#: Controls, and elements that stand in none, so that a control still open was left so.
+CONTROLS = ("button", "select", "option", "optgroup", "datalist")
+NO_CONTROL = frozenset("article aside blockquote body dl footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
 #: Which open elements a start tag closes.
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -102,6 +107,7 @@ def blocks(page: str | None) -> list[Block]:
                 return
 
     at = 0
+    unclosed: set[str] = set()  # raw elements of which no end follows
     while (m := _TAG.search(page, at)) is not None:
         say(page[at : m.start()])
         at = m.end()
@@ -140,21 +146,34 @@ def blocks(page: str | None) -> list[Block]:
                 else:
                     found += _WORD.findall(value)
             marks = tuple(found)
+        if name in FOREIGN and m[3].rstrip().endswith("/"):
+            continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if name not in _SKIPPED and end:
+            end = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end is None:
+                # Code goes on to the end; any other start tag alone is a stray one.
+                unclosed.add(name)
+                at = len(page) if name in ("script", "style") else at
+                continue
+            if name not in _SKIPPED:
                 close()
                 push(name, marks)
-                say(re.sub(r"<[^>]*>", " ", page[at : end.start()]))
+                if name == "xmp":
+                    say(page[at : end.start()].replace("&", "&amp;"))
+                else:
+                    say(re.sub(r"<[^>]*>", " ", page[at : end.start()]))
                 close()
                 drop(-1)
-            at = end.end() if end else len(page)
+            at = end.end()
             continue
         if name not in INLINE:
             close()
             # Inline elements left open don't reach into the next block.
             while stack and stack[-1][0] in INLINE:
                 drop(-1)
+            if name in NO_CONTROL:
+                while any(n in open_ for n in CONTROLS):
+                    pop(CONTROLS)
             if name in CLOSES:
                 pop(CLOSES[name], ("ul", "ol", "dl", "table", "article", "section", "div", "body", "td", "th") if name != "tr" else ("table",))
         push(name, marks)
