@@ -30,6 +30,8 @@ from .shingles import shingle_set
 BITS, BLOCK, LIGHT = 1024, 2048, 96
 #: Ids whose texts are fetched through a broadcast, at most; beyond it they are joined by a shuffle.
 IDS = 1_000_000
+#: The least percent: below it, sets of under four shingles link with others, sets link across bands, and blocks of lists meet that are left apart here.
+LEAST = 80
 #: Bands of sizes: the largest size and the part of all shingles that the band's lists are kept over.
 BANDS = ((96, 1.0), (256, 0.6), (1 << 62, 0.4))
 
@@ -175,7 +177,7 @@ def _lists(batches):
             low, high = [size[p == i].min() for i in range(p[-1] + 1)], [size[p == i].max() for i in range(p[-1] + 1)]
             for i in range(p[-1] + 1):
                 for j in range(i, p[-1] + 1):
-                    if i == j or 100 * high[i] >= 80 * low[j]:
+                    if i == j or 100 * high[i] >= LEAST * low[j]:
                         for side, x in ((0, i), (1, j))[: 1 + (i != j)]:
                             w = p == x
                             c = int(w.sum())
@@ -274,6 +276,8 @@ def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands=BANDS) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the smallest id with an equal set, component_id the smallest that links reach."""
+    if percent < LEAST:
+        raise ValueError(f"percent is from {LEAST} up")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(_signatures(docs, size, percent, bands), "signatures")
     missed = F.floor(F.lit(100 - percent) * F.col("n") / 100)
