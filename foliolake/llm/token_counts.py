@@ -2,29 +2,35 @@
 
 For a piece of text between two places where the tokenizer always cuts (a "pretoken"), a left-to-right dynamic program
 keeps for every prefix the last token of its encoding and the number of tokens: the last token of a prefix is the one
-token that ends there and that byte-pair merging leaves apart from the encoding before it. Counts at pretoken ends are
-running sums, so how many tokens any prefix of a text has, or where a token budget cuts it, is looked up and not encoded
-again.
+token that ends there and that byte-pair merging leaves apart from the encoding before it. A text's table has the count of every prefix in
+code points: running sums over pretokens plus the program's entries inside them, put right where the text's end would change how it is cut
+(white space before a word, contractions, added tokens). Tables are stored compressed (``prefix_tables``), so how many tokens any prefix has, or where a token
+budget cuts a text, is looked up and nothing is encoded again.
 
 Defined cases. A null or empty text has 0 bytes and 0 tokens. Strings of the file's added tokens count as one token each
 wherever they stand, which is the library's default. Ids are carried as they come, null ids and repeated rows included;
-extra columns are ignored. Texts of any length are counted whole. A lone surrogate can't occur in Spark strings.
+extra columns are ignored. Texts of any length are counted whole. A prefix longer than its text is the text. Counts can fall as a prefix grows; a budget takes
+the longest prefix that keeps to it. A lone surrogate can't occur in Spark strings.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import entered, remembers
 
 #: The pattern of byte-level pre-tokenisation.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Contractions of three characters, which their first two don't make.
+CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Entries that a worker's memory of pretokens keeps in each of two generations.
 MEMO = 400_000
 
@@ -58,13 +64,14 @@ class PrefixCounter:
             self.rank[raw(a), raw(b)] = r
         self.longest = max(map(len, self.vocab))
         self.find = regex.compile(PRETOKEN).findall
+        self.runs = regex.compile(r"\s{2,}(?=\S)").finditer
         added = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self.pairs: dict[bytes, tuple[bytes, bytes]] = {}
-        self.memo: dict[str | None, int] = {None: 1}
-        self.older: dict[str | None, int] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes, stop: int = 1) -> list[bytes]:
         """Byte-pair merging itself, lowest rank first, leftmost first, down to ``stop`` parts."""
@@ -126,64 +133,74 @@ class PrefixCounter:
                     break
         return count
 
-    def pretokens(self, text: str) -> list[str | None]:
-        """None stands for an added token."""
-        if self.added is None or not self.added.search(text):
-            return self.find(text)
-        out: list[str | None] = []
-        for i, part in enumerate(self.added.split(text)):
-            out += [None] if i % 2 else self.find(part)
-        return out
-
-    def total(self, text: str) -> int:
-        pieces = self.pretokens(text)
-        try:
-            return sum(map(self.memo.__getitem__, pieces))
-        except KeyError:
-            return sum(map(self.known, pieces))
-
-    def known(self, piece: str | None) -> int:
-        k = self.memo.get(piece)
-        if k is None:
-            k = self.older.get(piece) or self.counts(piece.encode())[-1]
+    def prefixes(self, piece: str) -> bytes | np.ndarray:
+        """Tokens of every prefix of a pretoken, by characters from 1; as bytes where they fit."""
+        found = self.memo.get(piece)
+        if found is None:
+            found = self.older.get(piece)
+            if found is None:
+                raw = piece.encode()
+                n = np.array(self.counts(raw)[1:], np.int32)
+                if len(raw) > len(piece):  # an entry for each character's last byte
+                    n = n[np.r_[np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[1:] - 1, len(raw) - 1]]
+                if piece in CONTRACTIONS:
+                    n[1] = n[0] + self.prefixes(piece[1])[0]
+                if n.max() > 255:
+                    return n
+                found = n.astype(np.uint8).tobytes()
             if len(piece) < 64:
                 if len(self.memo) > MEMO:
-                    self.older, self.memo = self.memo, {None: 1}
-                self.memo[piece] = k
-        return k
-
-    def table(self, text: str | None) -> PrefixTable:
-        return PrefixTable(self, text or "")
-
-
-class PrefixTable:
-    """Token counts of every prefix of one text; building it is the only encoding."""
-
-    def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.text = counter, text
-        self.pieces = counter.pretokens(text)
-        sizes, counts = [0], [0]
-        it = counter.added.finditer(text) if counter.added else iter(())
-        for p in self.pieces:
-            sizes.append(sizes[-1] + (len(next(it)[0]) if p is None else len(p)))
-            counts.append(counts[-1] + (1 if p is None else counter.counts(p.encode())[-1]))
-        self.ends, self.counts = np.array(sizes), np.array(counts)
-
-    def __len__(self) -> int:
-        return int(self.counts[-1])
+                    self.older, self.memo = self.memo, {}
+                self.memo[piece] = found
+        return found
 
-    def at(self, chars: int) -> int:
-        """Tokens of ``text[:chars]``."""
-        k = int(np.searchsorted(self.ends, chars, "right")) - 1
-        if self.ends[k] == chars == len(self.text):
-            return len(self)
-        # Where the cut falls can change how the white space or contraction just before it is cut: start two pretokens back.
-        k = max(0, k - 2)
-        return int(self.counts[k]) + self.counter.total(self.text[self.ends[k] : chars])
+    def sections(self, text: str) -> list[str]:
+        """Plain parts and, between them, added tokens."""
+        return [text] if self.added is None else self.added.split(text)
 
-    def fit(self, budget: int) -> int:
-        """The most characters at a pretoken's end whose prefix has at most ``budget`` tokens."""
-        return int(self.ends[int(np.searchsorted(self.counts, budget, "right")) - 1])
+    def total(self, text: str) -> int:
+        n = 0
+        get, more = self.memo.get, self.prefixes
+        for i, part in enumerate(self.sections(text)):
+            n += 1 if i % 2 else sum([(get(p) or more(p))[-1] for p in self.find(part)])
+        return int(n)
+
+    def table(self, text: str | None) -> np.ndarray:
+        """Tokens of every prefix, by characters from 0."""
+        out, before, base = [np.zeros(1, np.int32)], "", 0
+        for i, part in enumerate(self.sections(text or "")):
+            if i % 2:
+                # Inside an added token the prefix is plain text, read on from the part before.
+                own = self.table(before + part[:-1])[len(before) + 1 :]
+                out += [start + own, np.array([base + 1], np.int32)]
+                base += 1
+            else:
+                start, before = base, part
+                own = self._plain(part)
+                out.append(base + own)
+                base += int(own[-1]) if len(own) else 0
+        return np.concatenate(out).astype(np.int32)
+
+    def _plain(self, part: str) -> np.ndarray:
+        pieces = [self.prefixes(p) for p in self.find(part)]
+        if not pieces:
+            return np.zeros(0, np.int32)
+        if all(type(p) is bytes for p in pieces):
+            flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32)
+        else:
+            flat = np.concatenate([np.frombuffer(p, np.uint8).astype(np.int32) if type(p) is bytes else p for p in pieces])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        last = flat[np.cumsum(size) - 1]
+        out = flat + np.repeat(np.cumsum(last) - last, size)
+        for m in self.runs(part):  # a prefix that ends behind white space has the run as one pretoken
+            a, b = m.span()
+            out[b - 1] = (out[a - 1] if a else 0) + self.prefixes(part[a:b])[-1]
+        return out.astype(np.int32)
+
+
+def fit(table: np.ndarray, budget: int) -> int:
+    """The most characters whose prefix has at most ``budget`` tokens."""
+    return int(np.flatnonzero(table <= budget)[-1]) if budget >= 0 else 0
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -198,28 +215,71 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row."""
+    """(doc_id, n_bytes, n_tokens, over_limit, cut_chars) of every row; cut_chars: the longest prefix of at most ``limit`` tokens."""
     path = path or tokenizer_path()
 
     def run(batches):
-        total = counter(path).total
+        c = counter(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n = np.fromiter(map(total, texts), np.int64, len(texts))
+            n = np.fromiter(map(c.total, texts), np.int64, len(texts))
             size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            cut = [fit(c.table(t), limit) if k > limit else len(t) for t, k in zip(texts, n.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit), pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
+
+
+def prefix_tables(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, prefix_counts binary): the counts of all prefixes, as differences (int32), compressed."""
+    path = path or tokenizer_path()
+
+    def run(batches):
+        c = counter(path)
+        for b in batches:
+            tables = [c.table(t) for t in b.column(1).to_pylist()]
+            packed = [zlib.compress(np.diff(t).astype("<i4").tobytes(), 1) for t in tables]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(t[-1]) for t in tables], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "prefix_counts"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, prefix_counts binary")
+
+
+def stored_table(packed: bytes) -> np.ndarray:
+    return np.r_[0, np.cumsum(np.frombuffer(zlib.decompress(packed), "<i4"))]
+
+
+def tokens_at(stored: DataFrame, chars: Column) -> DataFrame:
+    """``stored`` (of ``prefix_tables``) with ``n_tokens_at``: the tokens of the first ``chars`` characters, looked up."""
+
+    @F.pandas_udf("long")
+    def look(packed, n):
+        return pd.Series([int(t[min(max(k, 0), len(t) - 1)]) for t, k in ((stored_table(x), int(y)) for x, y in zip(packed, n))], dtype="int64")
+
+    return stored.withColumn("n_tokens_at", look(F.col("prefix_counts"), F.coalesce(chars, F.lit(0))))
+
+
+def cut_at(stored: DataFrame, budget: Column) -> DataFrame:
+    """``stored`` (of ``prefix_tables``) with ``cut_chars``: the longest prefix of at most ``budget`` tokens, looked up."""
+
+    @F.pandas_udf("long")
+    def look(packed, n):
+        return pd.Series([fit(stored_table(x), int(y)) for x, y in zip(packed, n)], dtype="int64")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return stored.withColumn("cut_chars", look(F.col("prefix_counts"), F.coalesce(budget, F.lit(0))))
 
 
 def truncate_to_budget(docs: DataFrame, budget: int, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with every text cut at the last pretoken end that fits ``budget`` tokens (null: empty)."""
+    """``docs`` with every text cut to its longest prefix of at most ``budget`` tokens (null: empty)."""
     path = path or tokenizer_path()
 
     @F.pandas_udf("string")
     def cut(text):
         c = counter(path)
-        return text.map(lambda t: t if t is None or len(t) <= budget else t[: c.table(t).fit(budget)])
+        return text.map(lambda t: t[: fit(c.table(t), budget)])
 
     return docs.withColumn(text_col, cut(F.coalesce(F.col(text_col), F.lit(""))))
