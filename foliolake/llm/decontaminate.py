@@ -1,9 +1,15 @@
 """Benchmark items inside documents, within an edit distance in words.
 
-Where an item can occur is told by word trigrams: ``k`` edits spoil at most ``3 k`` of its ``n - 2`` trigrams, so only stretches of a document that share
-the others with it are looked at, which loses nothing. Each of them is settled by exact edit distance over the whole region.
+Long items are cut into segments of at most ``LONG`` words, of which one keeps to the rate if the item does. A segment, and the window of a document that begins at a word, are
+embedded by random walks (Chakraborty, Goldenberg and Koucky): a walk reads a word at each step and a random function of step and word says whether
+it moves on, so walks that fall apart at an edit meet again and edits become few differing steps. A repetition samples ``BITS`` steps; their words are
+the bucket, and a window that shares a bucket with a segment is a candidate. The number of repetitions of each class of lengths is measured on made segments at the limit
+of edits, until ``target`` of them meet (``repetitions``; no cap). Candidates are settled by exact edit distance over the whole region.
 
-Defined cases. Words are lower-cased runs of letters and digits. A null or empty document matches nothing, nor does a null or empty item. Items of under ``SHORT``
+Windows are embedded only where they can hold anything: ``k`` edits spoil at most ``3 k`` of a segment's ``m - 2`` word trigrams, so a window with fewer trigrams of any item
+than are left is passed over, which loses nothing; where none need be left (higher rates), every window is embedded.
+
+Defined cases. Words are lower-cased runs of letters, digits and marks. A null or empty document matches nothing, nor does a null or empty item. Items of under ``SHORT``
 words must occur exactly, and those of under three words are left out. Items that repeat are reported under each id. Repeated rows and null ids of documents are
 reported as they come. Extra columns are ignored. Items go to the workers in groups of at most about ``ITEMS`` and ``CHARS``; more of them take more passes.
 """
@@ -11,6 +17,8 @@ reported as they come. Extra columns are ignored. Items go to the workers in gro
 from __future__ import annotations
 
 import math
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +29,32 @@ from .common import entered
 from .shingles import _mixed, _words
 
 #: Items of a pass, and about how many characters of them; words below which an item must occur exactly.
-ITEMS, CHARS, SHORT = 20_000, 40_000_000, 8
+ITEMS, CHARS, SHORT = 60_000, 60_000_000, 8
+#: Words of the longest segment; steps that a repetition samples; repetitions that share a walk.
+LONG, BITS, SHARE = 32, 2, 4
+#: The least length of each class of segments. Those under ``SHORT`` are sampled whole, once.
+CLASSES = (3, 4, 5, 6, 7, 8, 10, 13, 17, 22, 27)
+#: Empty places behind each text.
+GAP = 2 * LONG
 _TABLE = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
+class _Letters(dict):
+    """Characters beyond ASCII that are no letters, digits or marks become spaces."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = out = code if code < 128 or c.isalnum() or unicodedata.category(c)[0] == "M" else 32
+        return out
+
+
+_letters = _Letters()
+
+
 def word_ids(text: str | None) -> np.ndarray:
     entered("shingles")
-    ws = (text or "").lower().encode().translate(_TABLE).split()
+    text = (text or "").lower()
+    ws = (text if text.isascii() else text.translate(_letters)).encode().translate(_TABLE).split()
     return np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws))
 
 
@@ -40,6 +67,11 @@ def edits(n: int, rate: float) -> int:
     return int(rate * n) if n >= SHORT else 0
 
 
+def left_whole(n: int, rate: float) -> int:
+    """Trigrams of n words that the edits can't reach."""
+    return max(0, n - 2 - 3 * edits(n, rate))
+
+
 def distance(item: np.ndarray, region: np.ndarray) -> int:
     """The least edit distance in words between the item and any window of the region."""
     before = np.zeros(len(region) + 1, np.int64)
@@ -52,91 +84,220 @@ def distance(item: np.ndarray, region: np.ndarray) -> int:
     return int(before.min())
 
 
+def _top(low: int) -> int:
+    """The greatest length of the class that begins at ``low``."""
+    i = CLASSES.index(low)
+    return CLASSES[i + 1] - 1 if i + 1 < len(CLASSES) else LONG
+
+
+def _samples(low: int, r: int) -> tuple[int, np.ndarray]:
+    """(walk, steps) of a class's repetition: steps that most walks take before the segment ends."""
+    if low < SHORT:
+        return 0, np.arange(low)
+    rng = np.random.default_rng([low, r])
+    return r // SHARE, np.sort(rng.choice(int(1.5 * low), BITS, replace=False))
+
+
+def _buckets(flat: np.ndarray, starts: np.ndarray, plan: list[tuple[int, np.ndarray]]):
+    """For each repetition in turn the bucket of the window at each start. ``flat`` has ``GAP`` places behind the last start."""
+    held, words = -1, {}
+    for r, (walk, steps) in enumerate(plan):
+        if walk != held:
+            held, words = walk, {}
+            moves = _mixed(flat + np.uint64((walk + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            wanted = {int(j) for w, s in plan if w == walk for j in s}
+            at = starts.copy()
+            for j in range(max(wanted) + 1):
+                if j in wanted:
+                    words[j] = flat[at]
+                at = at + ((moves[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+        key = np.full(len(starts), np.uint64(r + 1))
+        for j in steps:
+            key = _mixed(key + words[int(j)])
+        yield key
+
+
+@lru_cache(maxsize=64)
+def repetitions(low: int, rate: float, target: float, made: int = 1500) -> int:
+    """How many repetitions a class needs: made segments at the limit of edits are embedded until ``target`` of them share a bucket with their edited copy."""
+    if low < SHORT:
+        return 1
+    rng = np.random.default_rng(low)
+    flat, a, b = [], [], []
+    size = 0
+    for i in range(made):
+        m = low + i % (_top(low) - low + 1)
+        w = rng.integers(1, 1 << 62, m).astype(np.uint64)
+        edited, k = [], edits(m, rate)
+        at = set(rng.choice(m, k, replace=False).tolist())
+        for j, x in enumerate(w):
+            kind = int(rng.integers(3)) if j in at else 3
+            edited += [[np.uint64(rng.integers(1, 1 << 62))], [], [np.uint64(rng.integers(1, 1 << 62)), x], [x]][kind]
+        for x, places in ((w, a), (np.array(edited + rng.integers(1, 1 << 62, 8).tolist(), np.uint64), b)):
+            places.append(size)
+            flat += [x, np.zeros(GAP, np.uint64)]
+            size += len(x) + GAP
+    flat, a, b = np.concatenate(flat), np.array(a), np.array(b)
+    met, r = np.zeros(made, bool), 0
+    while met.mean() < target:
+        plan = [_samples(low, i) for i in range(r, r + SHARE)]
+        for x, y in zip(_buckets(flat, a, plan), _buckets(flat, b, plan)):
+            met |= x == y
+        r += SHARE
+    return r
+
+
 class Items:
     """What a worker needs of a group of items."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], rate: float):
+    def __init__(self, ids: list[int], words: list[np.ndarray], rate: float, target: float = 0.999):
         self.ids, self.words, self.rate = ids, words, rate
         grams = [_trigrams(w) for w in words]
-        all_ = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(all_, kind="stable")
-        self.grams = all_[order]
-        self.item = np.repeat(np.arange(len(words)), [len(g) for g in grams])[order]
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
+        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.need = np.array([max(1, len(w) - 2 - 3 * edits(len(w), rate)) for w in words], np.int64)
-
-    def matches(self, doc: np.ndarray) -> list[tuple[int, int]]:
-        """(item id, distance) of the items that a document holds."""
-        if len(doc) < 3 or not len(self.grams):
-            return []
-        t = _trigrams(doc)
-        d = np.flatnonzero(self.maybe[(t & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(self.grams, t[d], "left"), np.searchsorted(self.grams, t[d], "right")
-        n = high - low
-        if not n.any():
-            return []
-        d = np.repeat(d, n)
-        g = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, start = self.item[g], d - self.place[g]
-        out = []
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        for a, b in self.runs(item):
-            i, s = int(item[a]), start[a:b]
-            w = self.words[i]
-            k = edits(len(w), self.rate)
-            if b - a < self.need[i]:
+        base, flat = np.cumsum([0, *(len(w) + GAP for w in words)]), np.zeros(sum(len(w) + GAP for w in words) + GAP, np.uint64)
+        item, offset, size = [], [], []
+        for i, w in enumerate(words):
+            flat[base[i] : base[i] + len(w)] = w
+            cuts = np.linspace(0, len(w), -(-len(w) // LONG) + 1).astype(int)
+            item += [i] * (len(cuts) - 1)
+            offset += cuts[:-1].tolist()
+            size += np.diff(cuts).tolist()
+        self.item, self.offset = np.array(item, np.int64), np.array(offset, np.int64)
+        place, size = base[self.item] + self.offset, np.array(size, np.int64)
+        #: (trigrams that must be left, words within which, plan, for each repetition the sorted buckets and their segments)
+        self.classes = []
+        for low in CLASSES:
+            own = np.flatnonzero((size >= low) & (size <= _top(low)))
+            if not len(own):
                 continue
-            # Stretches of starts within 2 k of each other belong together.
-            for x, y in self.runs(np.cumsum(np.r_[False, np.diff(s) > 2 * k + 1])):
-                if y - x < self.need[i]:
+            plan = [_samples(low, r) for r in range(repetitions(low, rate, target))]
+            tables = []
+            for key in _buckets(flat, place[own], plan):
+                order = np.argsort(key, kind="stable")
+                tables.append((key[order], own[order]))
+            lengths = np.unique(size[own])
+            self.classes.append((min(left_whole(int(m), rate) for m in lengths), max(int(m) + edits(int(m), rate) for m in lengths), plan, tables))
+
+    def candidates(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, segment) of the windows of ``flat`` (words, 0 between texts, ``GAP`` of them at the end) that share a bucket with a segment."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(flat) > GAP and len(self.grams):
+            t = _trigrams(flat)
+            at = np.flatnonzero(self.maybe[(t & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            i = np.minimum(np.searchsorted(self.grams, t[at]), len(self.grams) - 1)
+            upto = np.zeros(len(flat) + 1, np.int32)
+            upto[at[self.grams[i] == t[at]] + 1] = 1
+            np.cumsum(upto, out=upto)
+            last = len(flat) - GAP
+            for need, within, plan, tables in self.classes:
+                end = np.minimum(np.arange(last) + max(within - 2, 1), len(flat))
+                starts = np.flatnonzero((flat[:last] != 0) & (upto[end] - upto[:last] >= need))
+                if not len(starts):
                     continue
-                starts = np.unique(s[x:y])
-                region = doc[max(0, int(starts[0]) - k) : int(starts[-1]) + len(w) + k]
-                apart = distance(w, region)
-                if apart <= k:
-                    out.append((self.ids[i], apart))
-        best: dict[int, int] = {}
-        for i, apart in out:
-            best[i] = min(apart, best.get(i, apart))
-        return sorted(best.items())
-
-    @staticmethod
-    def runs(x: np.ndarray):
-        at = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
-        return zip(at[:-1], at[1:])
+                # Only what the walks from these starts can read is hashed.
+                near = np.zeros(len(flat) + 1, np.int32)
+                np.add.at(near, starts, 1)
+                np.add.at(near, starts + GAP, -1)
+                read = np.cumsum(near[:-1]) > 0
+                small, new = flat[read], np.cumsum(read) - 1
+                for key, (known, segment) in zip(_buckets(small, new[starts], plan), tables):
+                    a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+                    hit = np.flatnonzero(b > a)
+                    n = (b - a)[hit]
+                    s = np.repeat(a[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    found.append((starts[np.repeat(hit, n)], segment[s]))
+        start, segment = (np.concatenate(c) for c in zip(*found))
+        both = np.unique(np.stack([start, segment], 1), axis=0)
+        return both[:, 0], both[:, 1]
 
+    def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(position in ``docs``, item id, distance) of the items that documents hold."""
+        base = np.cumsum([0, *(len(d) + GAP for d in docs)])
+        flat = np.zeros(int(base[-1]) + GAP, np.uint64)
+        for b, d in zip(base, docs):
+            flat[b : b + len(d)] = d
+        start, segment = self.candidates(flat)
+        item = self.item[segment]
+        doc = np.searchsorted(base, start, "right") - 1
+        first = start - base[doc] - self.offset[segment]  # where the item would begin
+        order = np.lexsort((first, item, doc))
+        best: dict[tuple[int, int], int] = {}
+        region: tuple[int, int, int, int] | None = None
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance) of every document and item of which a window is within ``rate`` times the item's words."""
-    spark = docs.sparkSession
+        def settle():
+            d, i, a, b = region
+            k = distance(self.words[i], docs[d][max(0, a) : max(0, b)])
+            if k <= edits(len(self.words[i]), self.rate):
+                key = (d, self.ids[i])
+                best[key] = min(k, best.get(key, k))
+
+        for d, i, f in zip(doc[order].tolist(), item[order].tolist(), first[order].tolist()):
+            n = len(self.words[i])
+            k = edits(n, self.rate)
+            if region and region[:2] == (d, i) and f - k <= region[3]:
+                region = (d, i, region[2], f + n + 2 * k)
+                continue
+            if region:
+                settle()
+            region = (d, i, f - k, f + n + 2 * k)
+        if region:
+            settle()
+        return [(d, i, k) for (d, i), k in sorted(best.items())]
+
+
+def _groups(docs: DataFrame, benchmark: DataFrame, rate: float) -> list:
+    """The items, broadcast in groups."""
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     groups = max(1, math.ceil(size["n"] / (ITEMS * 0.8)), math.ceil(size["chars"] / CHARS))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
+    out = []
     for g in range(groups):
         rows = [(r["item_id"], word_ids(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).orderBy("item_id").collect()]
         rows = [(i, w) for i, w in rows if len(w) >= 3]
-        held = spark.sparkContext.broadcast(Items([i for i, _ in rows], [w for _, w in rows], rate))
+        out.append(docs.sparkSession.sparkContext.broadcast(Items([i for i, _ in rows], [w for _, w in rows], rate)))
+    return out
+
+
+#: Texts whose windows are embedded together.
+STEP = 1000
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, distance) of every document and item of which a window is within ``rate`` times the item's words."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = None
+    for held in _groups(docs, benchmark, rate):
 
         def run(batches, held=held):
             known = held.value
             for b in batches:
-                doc, item, apart = [], [], []
-                for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for i, k in known.matches(word_ids(text)):
-                        doc.append(d), item.append(i), apart.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(apart, pa.int32())], names=["doc_id", "item_id", "distance"])
+                for a in range(0, b.num_rows, STEP):
+                    part = b.slice(a, STEP)
+                    ids = part.column(0).to_pylist()
+                    hits = known.matches([word_ids(t) for t in part.column(1).to_pylist()])
+                    cols = [[ids[d] for d, _, _ in hits], [i for _, i, _ in hits], [k for _, _, k in hits]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "distance"])
 
         part = own.mapInArrow(run, "doc_id long, item_id long, distance int")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    hit = find_items(docs, benchmark, **options).select(F.col("doc_id").alias("__hit")).where(F.col("__hit").isNotNull()).distinct()
-    return docs.join(hit, F.col(options.get("id_col", "doc_id")) == F.col("__hit"), "left_anti")
+def without_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds an item, whatever their id; dropped in the pass that reads the texts, without a shuffle."""
+    at = docs.columns.index(text_col)
+    for held in _groups(docs, benchmark, rate):
+
+        def run(batches, held=held):
+            known = held.value
+            for b in batches:
+                for a in range(0, b.num_rows, STEP):
+                    part = b.slice(a, STEP)
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[d for d, _, _ in known.matches([word_ids(t) for t in part.column(at).to_pylist()])]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
