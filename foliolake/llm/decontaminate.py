@@ -152,7 +152,9 @@ class Items:
 
     def __init__(self, ids: list[int], words: list[np.ndarray], rate: float, target: float = 0.999):
         self.ids, self.words, self.rate = ids, words, rate
-        grams = [_trigrams(w) for w in words]
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.edits = np.array([edits(len(w), rate) for w in words], np.int64)
+        self.own = grams = [np.sort(_trigrams(w)) for w in words]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -208,9 +210,8 @@ class Items:
                     n = (b - a)[hit]
                     s = np.repeat(a[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     found.append((starts[np.repeat(hit, n)], segment[s]))
-        start, segment = (np.concatenate(c) for c in zip(*found))
-        both = np.unique(np.stack([start, segment], 1), axis=0)
-        return both[:, 0], both[:, 1]
+        both = np.unique(np.concatenate([a * max(1, len(self.item)) + b for a, b in found]))
+        return both // max(1, len(self.item)), both % max(1, len(self.item))
 
     def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """(position in ``docs``, item id, distance) of the items that documents hold."""
@@ -223,27 +224,25 @@ class Items:
         doc = np.searchsorted(base, start, "right") - 1
         first = start - base[doc] - self.offset[segment]  # where the item would begin
         order = np.lexsort((first, item, doc))
+        doc, item, first = doc[order], item[order], first[order]
+        n, k = self.size[item], self.edits[item]
+        # Candidates whose regions meet are settled together.
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(first) > (n + 3 * k)[1:])][: len(first)]
+        begin = np.flatnonzero(new)
+        end = np.r_[begin[1:], len(first)][: len(begin)] - 1
         best: dict[tuple[int, int], int] = {}
-        region: tuple[int, int, int, int] | None = None
-
-        def settle():
-            d, i, a, b = region
-            k = distance(self.words[i], docs[d][max(0, a) : max(0, b)])
-            if k <= edits(len(self.words[i]), self.rate):
-                key = (d, self.ids[i])
-                best[key] = min(k, best.get(key, k))
-
-        for d, i, f in zip(doc[order].tolist(), item[order].tolist(), first[order].tolist()):
-            n = len(self.words[i])
-            k = edits(n, self.rate)
-            if region and region[:2] == (d, i) and f - k <= region[3]:
-                region = (d, i, region[2], f + n + 2 * k)
+        for d, i, low, high in zip(doc[begin].tolist(), item[begin].tolist(), (first - k)[begin].tolist(), (first + n + 2 * k)[end].tolist()):
+            region = docs[d][max(0, low) : max(0, high)]
+            # An exact check before the distance: what the edits leave whole of the item must be there.
+            if len(region) < 3:
                 continue
-            if region:
-                settle()
-            region = (d, i, f - k, f + n + 2 * k)
-        if region:
-            settle()
+            own, t = self.own[i], _trigrams(region)
+            if (own[np.minimum(np.searchsorted(own, t), len(own) - 1)] == t).sum() < left_whole(len(self.words[i]), self.rate):
+                continue
+            apart = distance(self.words[i], region)
+            if apart <= self.edits[i]:
+                key = (d, self.ids[i])
+                best[key] = min(apart, best.get(key, apart))
         return [(d, i, k) for (d, i), k in sorted(best.items())]
 
 
