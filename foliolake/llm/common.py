@@ -13,9 +13,11 @@ WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; a temporary one is set only where it is unset (tests)."""
+    """The folder every executor shares: ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary one (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foliolake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -17,6 +17,7 @@ reported as they come. Extra columns are ignored. Items go to the workers in gro
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -37,6 +38,8 @@ CLASSES = (3, 4, 5, 6, 7, 8, 10, 13, 17, 22, 27)
 #: Empty places behind each text.
 GAP = 2 * LONG
 _TABLE = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+#: Whether bytes may hold other characters beyond ASCII than Latin letters (U+00C0 to U+02BF).
+_BEYOND = re.compile(rb"[\xc2\xcb-\xff]|\xc3[\x97\xb7]").search
 
 
 class _Letters(dict):
@@ -54,7 +57,10 @@ _letters = _Letters()
 def word_ids(text: str | None) -> np.ndarray:
     entered("shingles")
     text = (text or "").lower()
-    ws = (text if text.isascii() else text.translate(_letters)).encode().translate(_TABLE).split()
+    raw = text.encode()
+    if _BEYOND(raw):
+        raw = text.translate(_letters).encode()
+    ws = raw.translate(_TABLE).split()
     return np.fromiter(map(_words.__getitem__, ws), np.uint64, len(ws))
 
 

@@ -5,7 +5,7 @@ class gets a mean and a covariance shrunk towards a scaled identity (the oracle-
 but the covariance itself and the number of rows); its Cholesky factor and log-determinant are computed once and cached in the
 model. A score is the logistic of the difference of the two log densities plus the log prior odds.
 
-Defined cases. A null or empty text has the statistics of a text without words and is scored like any other. Labels that
+Defined cases. A null text, or one without words, scores 0 (and teaches nothing) where there is a model. Labels that
 are null are ignored; repeated labels of an id are averaged (1 from a half upwards); labels of unknown ids, and repeated
 document rows, do no harm (a repeated training row counts twice). If a class has fewer than two training rows, every score is the
 share of class 1 among the training rows, or 0.5 without any. Extra columns are ignored. Ids, languages and sources are never inputs.
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_of, written
+from .common import held_out, label_of
 
 NAMES = (
     "log_words", "log_word_bytes", "upper", "digit", "space", "punct", "symbol", "beyond_ascii", "symbol_ends_word",
     "shouted", "distinct_words", "top_word", "distinct_pairs", "distinct_lines", "log_line_words", "longest_word", "bars", "short_words",
 )
 D = len(NAMES)
+#: Labels that are sent to the documents, at most; beyond it documents are joined to them by a shuffle.
+IDS = 1_000_000
 #: Character classes by byte: 0 lower-case letters, 1 upper-case letters, 2 digits, 3 white space, 4 punctuation of prose, 5 other symbols, 6 and 7 bytes beyond ASCII.
 _CLASS = np.full(256, 5, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = 0
@@ -40,6 +42,7 @@ _CLASS[192:] = 6
 
 
 def statistics(text: str | None) -> np.ndarray:
+    """The statistics of a text; zeros without words."""
     raw = (text or "").encode()
     words = raw.split()
     n, size = len(words), len(raw)
@@ -96,9 +99,10 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.fixed is not None:
             return np.full(len(x), self.fixed)
+        empty = ~x.any(1)
         z = (x - self.centre) / self.scale
         log_density = [self.log_prior[c] - 0.5 * self.log_det[c] - 0.5 * (np.linalg.solve(self.lower[c], (z - self.mean[c]).T) ** 2).sum(0) for c in (0, 1)]
-        return 1 / (1 + np.exp(np.clip(log_density[0] - log_density[1], -500, 500)))
+        return np.where(empty, 0.0, 1 / (1 + np.exp(np.clip(log_density[0] - log_density[1], -500, 500))))
 
 
 def shrunk(s: np.ndarray, n: float) -> np.ndarray:
@@ -110,8 +114,8 @@ def shrunk(s: np.ndarray, n: float) -> np.ndarray:
     return (1 - rho) * s + (rho * trace / p + 1e-6) * np.eye(p)
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """``labels`` has (doc_id, y). One pass of class sums and products, combined in each partition before they are added up."""
+def fit(rows: DataFrame) -> Model:
+    """``rows`` has (y, x). One pass of class sums and products, combined in each partition before they are added up."""
 
     def sums(batches):
         total = np.zeros((2, 1 + D + D * D))
@@ -119,13 +123,13 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             y = b.column(0).to_numpy()
             x = b.column(1).flatten().to_numpy().reshape(-1, D)
             for c in (0, 1):
-                own = x[y == c]
+                own = x[(y == c) & x.any(1)]
                 total[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
         for c in (0, 1):
             if total[c, 0]:
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total[c].tolist()])], names=["y", "m"])
 
-    parts = stats.join(labels, "doc_id").select("y", "x").mapInArrow(sums, "y int, m array<double>")
+    parts = rows.select("y", "x").mapInArrow(sums, "y int, m array<double>")
     rows = parts.select("y", F.posexplode("m").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     m = np.zeros((2, 1 + D + D * D))
     for r in rows:
@@ -144,33 +148,40 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return Model(centre, scale, (mean - centre) / scale, lower, log_det, np.log(n / n.sum()))
 
 
-def score(stats: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, score, predicted)."""
+def learnt(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1) -> Model:
+    """The model of the labelled documents; ids whose crc32 leaves ``rest`` teach nothing."""
+    known = label_of(labels, "quality").where(~held_out("doc_id", modulus, rest))
+    few = known.limit(IDS + 1).count() <= IDS
+    train = docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
+    y = train.select(F.col("y").cast("long").alias("doc_id"), "text")
+    return fit(document_statistics(y).select(F.col("doc_id").cast("int").alias("y"), "x"))
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, score, predicted) of every row."""
 
     def run(batches):
         for b in batches:
-            s = model.scores(b.column(1).flatten().to_numpy().reshape(-1, D))
+            s = model.scores(np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(-1, D))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; ids whose crc32 leaves ``rest`` teach nothing."""
-    stats = written(document_statistics(docs), "statistics")
-    known = label_of(labels, "quality").where(~held_out("doc_id", modulus, rest))
-    model = fit(stats, known)
-    return score(stats, model).select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "score", "predicted")
+    """(doc_id, held_out, score, predicted) of every row."""
+    scored = score(docs, learnt(docs, labels, modulus, rest))
+    return scored.select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, unchanged; fitted as ``classify`` is."""
-    model = fit(written(document_statistics(docs), "statistics"), label_of(labels, "quality").where(~held_out("doc_id", 3, 1)))
+    model = learnt(docs, labels)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
-        return pd.Series(model.scores(np.stack([statistics(t) for t in text])) if len(text) else [], dtype=float)
+    def run(batches):
+        for b in batches:
+            s = model.scores(np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, D))
+            yield b.filter(pa.array(s >= 0.5))
 
-    return docs.where(scored("text") >= 0.5)
+    return docs.mapInArrow(run, docs.schema)

@@ -7,13 +7,15 @@ many such segments chance would give. A logistic curve over that number, fitted
 
 Defined cases. A null or empty text has no segment and scores the same as any text without a toxic token. Null labels are
 ignored, repeated ones averaged. Without toxic or without other training rows every score is the share of toxic ones (0 without
-any). Repeated rows and null ids are scored as they come; extra columns are ignored. Texts are scanned whole.
+any). Rows that share an id teach once, by their smallest text. Repeated rows and null ids are scored as they come; extra columns are ignored. Texts are scanned whole.
 
-Bounds. The model learns from at most ``SAMPLE`` labelled rows, taken by the order of a hash of the id, and keeps at most ``KEEP`` tokens.
+Bounds. The model learns from at most ``SAMPLE`` labelled documents, taken by the order of a hash of the id, and keeps at most ``KEEP`` tokens.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,11 +35,29 @@ STEMS = (6, 5, 4)
 COST = 0.5
 
 _TABLE = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
+#: Whether bytes may hold other characters beyond ASCII than Latin letters (U+00C0 to U+02BF).
+_BEYOND = re.compile(rb"[\xc2\xcb-\xff]|\xc3[\x97\xb7]").search
+
+
+class _Letters(dict):
+    """Characters beyond ASCII that are no letters or marks become spaces."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = out = code if code < 128 or c.isalpha() or unicodedata.category(c)[0] == "M" else 32
+        return out
+
+
+_letters = _Letters()
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters."""
-    return (text or "").lower().encode().translate(_TABLE).split()
+    """Lower-cased runs of letters and marks."""
+    text = (text or "").lower()
+    raw = text.encode()
+    if _BEYOND(raw):
+        raw = text.translate(_letters).encode()
+    return raw.translate(_TABLE).split()
 
 
 def segments(scores) -> list[tuple[int, int, float]]:
@@ -141,8 +161,9 @@ def _rate(probabilities: np.ndarray, scores: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = KEEP, prior: float = 0.1, least_z: float = 3.0) -> Model:
     """``docs`` has (doc_id, text), ``labels`` (doc_id, y)."""
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    train = docs.join(F.broadcast(chosen), "doc_id").select("y", "text").persist()
+    present = docs.select("doc_id").join(labels, "doc_id", "left_semi").distinct()
+    chosen = labels.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    train = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text").persist()
     try:
         sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
         toxic, other = sizes.get(1, 0), sizes.get(0, 0)
