@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import forget, written
 
+#: Links of a node from which on its rows are joined where they stand; there are at most one in ``HOT`` links of such nodes.
+HOT = 100_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -20,8 +23,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Large star: every larger neighbour of a node is tied to the smallest one it can see.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        hot, up = F.broadcast(least.where(F.col("n") >= HOT).drop("n")), both.where("v > u")
+        tied = up.join(hot, "u").unionByName(up.join(hot, "u", "left_anti").join(least.where(F.col("n") < HOT).drop("n"), "u"))
+        large = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: the smaller neighbours of a node, and the node, are tied to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -7,9 +7,14 @@ too, so with the rarest first, they meet among the first ``n - o + 1``, and the
 Shingles that no other text has cost a place and make no list, which leaves few lists besides those of near copies. Should
 a set have so few shingles in its part that this could fail, the part becomes the whole for all. A cost model over the sizes sets the boundary between small and large; it changes speed, not results.
 
-Lists are read in blocks. Within one, pairs are counted out by size and by a parity bitmap, which bounds the symmetric difference from below, so a pair
-that it rejects cannot link. Pairs aren't emitted: each set offers its most alike predecessor, these links are checked on
-the whole sets, and components are formed. Only pairs that still cross components are then checked, all of them, so no link between components is lost.
+Lists are dealt by range on (key, size, set), so a long one lies over many tasks, and cut into blocks of at most ``BLOCK``. Within one, pairs are counted out by size and by a
+parity bitmap, which bounds the symmetric difference from below, so a pair that it rejects cannot link. Pairs aren't emitted: each set offers its most alike predecessor in its
+block; of a list with several blocks, the first and last members of each form a list again, which ties the blocks. These links are checked on
+the whole sets, and components are formed. Only pairs that still cross components are then checked, all of them, so no link between components is lost: in a list of several
+blocks, the members outside the list's most frequent component meet all others.
+
+Hot keys. Shingles that many documents share are counted while sets are made; their rows need no counting in one place and are dealt by document. Members of a class meet
+it by a salted join, and nothing else is keyed by class or component.
 
 Defined cases. A null text or one without words is an empty set, linked with nothing. Repeated rows are copies. Rows that share an id are one
 document: it links where any of its texts does. A null id gets no component. Extra columns are ignored; an empty table gives no rows. Shingles are compared by 64-bit hashes.
@@ -24,10 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .shingles import shingle_set
+from .shingles import _mixed, shingle_set
 
 #: Bits of a parity bitmap; members of a block of a list; the largest size that subsets are made for.
-BITS, BLOCK, LIGHT = 1024, 2048, 96
+BITS, BLOCK, LIGHT = 1024, 1024, 96
+#: Members at each end of a block that stand for it; members up to which a list of such is read in one task.
+ENDS, FEW = 4, 200_000
+#: Shingles that are known to be frequent, at most (others are counted in one task each); one in how many documents of a batch has a frequent one; parts that a class is dealt into.
+OFTEN, SHARE, SALTS = 20_000, 64, 16
 #: Ids whose texts are fetched through a broadcast, at most; beyond it they are joined by a shuffle.
 IDS = 1_000_000
 #: The least percent: below it, sets of under four shingles link with others, sets link across bands, and blocks of lists meet that are left apart here.
@@ -54,35 +63,55 @@ def _parts(h: np.ndarray, percent: int, bands) -> list[tuple[int, np.ndarray]]:
     return [(b, h if bands[b][1] >= 1 else h[h.view(np.uint64) < np.uint64(int(bands[b][1] * 2**64))]) for b in range(own, own + 1 + up)]
 
 
-def _part_rows(docs: DataFrame, size: int, percent: int, bands, least: int) -> DataFrame:
-    """(s, doc_id, band) of the parts of all sets of ``least`` shingles or more; s tells bands apart."""
+def _frequent(parts: list[np.ndarray], docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, documents) of those that one in ``SHARE`` documents of a batch has."""
+    least = max(16, docs // SHARE)
+    every = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    if len(every) < least:
+        return every[:0], every[:0]
+    place = (every.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+    every = every[np.bincount(place, minlength=1 << 20)[place] >= least]
+    s, n = np.unique(every, return_counts=True)
+    return s[n >= least], n[n >= least]
+
+
+def _part_rows(docs: DataFrame, size: int, percent: int, bands, least: int, often: np.ndarray) -> DataFrame:
+    """(s, doc_id, band) of the parts of all sets of ``least`` shingles or more; s tells bands apart. A shingle of ``often`` has its place there in
+    ``band``, from 16 up, and a number of its own and the document's as ``s``."""
 
     def run(batches):
         for b in batches:
-            s, doc, band = [np.zeros(0, np.int64)], [], []
+            s, doc, band = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = shingle_set(text, size)
                 if len(h) >= least:
                     for i, part in _parts(h, percent, bands):
-                        s.append(part + np.int64(i))
+                        part = part + np.int64(i)
+                        kind = np.full(len(part), i, np.int32)
+                        if len(often):
+                            at = np.minimum(np.searchsorted(often, part), len(often) - 1)
+                            hot = often[at] == part
+                            kind[hot] += 16 * (at[hot] + 1).astype(np.int32)
+                            part[hot] = _mixed(part[hot].view(np.uint64) + np.uint64(d & (1 << 64) - 1)).view(np.int64)
+                        s.append(part)
+                        band.append(kind)
                         doc.append((d, len(part)))
-                        band.append(i)
             n = [k for _, k in doc]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(np.repeat(np.array([d for d, _ in doc], np.int64), n)), pa.array(np.repeat(np.array(band, np.int32), n))], names=["s", "doc_id", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(np.repeat(np.array([d for d, _ in doc], np.int64), n)), pa.array(np.concatenate(band))], names=["s", "doc_id", "band"])
 
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "s long, doc_id long, band int")
 
 
 def _signatures(docs: DataFrame, size: int, percent: int, bands) -> DataFrame:
-    """(doc_id, n, c1, c2, bits, first, b0, z0, b1, z1): c1 and c2 name the set; first is the prefix for subsets (small sets only);
-    z0 is the size of the set's part in its band b0, z1 of that in the next one if it has partners there."""
+    """(doc_id, n, c1, c2, bits, first, b0, z0, b1, z1, often, counts): c1 and c2 name the set; first is the prefix for subsets (small sets only);
+    z0 is the size of the set's part in its band b0, z1 of that in the next one if it has partners there. The first row of a batch has the batch's frequent shingles."""
 
     def run(batches):
         import xxhash
 
-        shape = [("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("first", pa.list_(pa.int64())), ("b0", pa.int32()), ("z0", pa.int32()), ("b1", pa.int32()), ("z1", pa.int32())]
+        shape = [("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("first", pa.list_(pa.int64())), ("b0", pa.int32()), ("z0", pa.int32()), ("b1", pa.int32()), ("z1", pa.int32()), ("often", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
         for b in batches:
-            rows = []
+            rows, every = [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, size)
                 n = len(h)
@@ -90,11 +119,14 @@ def _signatures(docs: DataFrame, size: int, percent: int, bands) -> DataFrame:
                 parts = _parts(h, percent, bands)
                 first = h[: n - int(least_overlap(n, percent)) + 2] if n <= LIGHT else None
                 more = [(b, len(p)) for b, p in parts] + [(None, None)]
-                rows.append((n, int(c[0]), int(c[1]), _bitmap(h), first, *more[0], *more[1]))
-            cols = list(zip(*rows)) if rows else [()] * 9
+                every += [p + np.int64(i) for i, p in parts]
+                rows.append((n, int(c[0]), int(c[1]), _bitmap(h), first, *more[0], *more[1], None, None))
+            if rows:
+                rows[0] = (*rows[0][:-2], *_frequent(every, len(rows)))
+            cols = list(zip(*rows)) if rows else [()] * len(shape)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, shape))], names=["doc_id", *(n for n, _ in shape)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bits binary, first array<long>, b0 int, z0 int, b1 int, z1 int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, bits binary, first array<long>, b0 int, z0 int, b1 int, z1 int, often array<long>, counts array<long>")
 
 
 def _boundary(signed: DataFrame, percent: int, bands) -> int:
@@ -111,12 +143,12 @@ def _boundary(signed: DataFrame, percent: int, bands) -> int:
     return at
 
 
-def _keys(signed: DataFrame, rows: DataFrame, reps: DataFrame, small: int, percent: int) -> DataFrame:
+def _keys(signed: DataFrame, rows: DataFrame, reps: DataFrame, small: int, percent: int, often: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(key, rep, n, near): what two linked sets have in common; near: it counts if the set is the smaller of the two."""
     pairs = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(x, y))))
     light = signed.where((F.col("n") > 3) & (F.col("n") <= small)).select(F.col("doc_id").alias("rep"), "c1", "c2", "n", F.explode(pairs).alias("key"))
     light = light.join(reps, ["rep", "c1", "c2"], "left_semi").select("key", "rep", "n", F.lit(True).alias("near"))
-    shared = rows.repartition("s").sortWithinPartitions("s").mapInArrow(_shared, "doc_id long, band int, df int, s long")
+    shared = rows.repartition("s").sortWithinPartitions("s").mapInArrow(lambda it: _shared(it, often, counts), "doc_id long, band int, df int, s long")
     # The sets that have shared shingles, with these from the rarest on.
     own = shared.groupBy("doc_id", "band").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
     known = signed.where("n > 3").join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "c1", "c2"], "left_semi")
@@ -130,65 +162,90 @@ def _keys(signed: DataFrame, rows: DataFrame, reps: DataFrame, small: int, perce
     return light.unionByName(heavy)
 
 
-def _shared(batches):
-    """Rows (s, doc_id, band) in order -> (doc_id, band, df, s) of every s that two rows or more have."""
+def _shared(batches, often: np.ndarray, counts: np.ndarray):
+    """Rows (s, doc_id, band) in order -> (doc_id, band, df, s) of every s that two rows or more have; the frequent ones are known to."""
     for t in _grouped(batches, 1):
-        s = t.column(0).to_numpy()
+        s, band = t.column(0).to_numpy(), t.column(2).to_numpy()
+        place = (band >> 4) - 1
         new = np.r_[True, s[1:] != s[:-1]]
-        n = np.diff(np.r_[np.flatnonzero(new), len(s)])[np.cumsum(new) - 1]
+        n = np.where(place < 0, np.diff(np.r_[np.flatnonzero(new), len(s)])[np.cumsum(new) - 1], 0)
+        if len(often):
+            n, s = np.where(place < 0, n, counts[place]), np.where(place < 0, s, often[place])
         keep = n > 1
         if keep.any():
-            some = t.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(n[keep].astype(np.int32)), some.column(0)], names=["doc_id", "band", "df", "s"])
+            yield pa.RecordBatch.from_arrays([t.column(1).filter(pa.array(keep)), pa.array(band[keep] & 15), pa.array(np.minimum(n[keep], 2**31 - 1).astype(np.int32)), pa.array(s[keep])], names=["doc_id", "band", "df", "s"])
 
 
 def _grouped(batches, columns: int):
-    """Sorted rows -> record batches that end where a key (the first ``columns`` columns) ends."""
-    rest = None
+    """Sorted rows -> record batches that end where a key (the first ``columns`` columns) ends. Rows are copied once, however many a key has."""
+    held: list[pa.RecordBatch] = []  # all of one key, but for the first batch
+
+    def same(x, i, y, j) -> bool:
+        return all(x.column(c)[i] == y.column(c)[j] for c in range(columns))
+
     for b in batches:
         if not b.num_rows:
             continue
-        t = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-        keys = [t.column(i).to_numpy() for i in range(columns)]
-        last = np.logical_and.reduce([k == k[-1] for k in keys])
+        if held and same(held[-1], -1, b, 0) and same(b, 0, b, -1):
+            held.append(b)
+            continue
+        t = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0] if held else b
+        last = np.logical_and.reduce([k == k[-1] for k in (t.column(i).to_numpy() for i in range(columns))])
         n = len(last) - (int(np.argmin(last[::-1])) or len(last))
         if n:
             yield t.slice(0, n)
-        rest = t.slice(n)
-    if rest is not None:
-        yield rest
+        held = [t.slice(n)]
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _lists(batches):
-    """Rows (key, n, rep, near) in order -> (key, i, j, side, rep, n) of keys with two members or more, one of them near, by pairs of blocks."""
-    for t in _grouped(batches, 1):
+def _lists(batches, edges: bool, block: int):
+    """Rows (key, n, rep, near) in order -> (key, blk, rep, n, near, more, lead): members of keys with two members or more, one of them near, in blocks.
+
+    ``more``: the list has more blocks, or (with ``edges``) may go on in another partition; such a list keeps all its members. ``lead``: the member is at an end of its block."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    blk = (context.partitionId() if context else 0) << 40
+    first = True
+    waiting = None
+
+    def blocks(t, end: bool):
+        nonlocal blk, first
         key, n, rep = (t.column(i).to_numpy() for i in range(3))
         near = t.column(3).to_numpy(zero_copy_only=False)
         new = np.r_[True, key[1:] != key[:-1]]
         group, start = np.cumsum(new) - 1, np.flatnonzero(new)
-        m = np.where(np.logical_or.reduceat(near, start), np.diff(np.r_[start, len(key)]), 0)
-        part = (np.arange(len(key)) - start[group]) // BLOCK
-        parts = (m[group] + BLOCK - 1) // BLOCK
-        one = (m[group] > 1) & (parts == 1)
-        out = [(key[one], part[one], part[one], part[one], rep[one], n[one])]
-        for g in np.flatnonzero(m > BLOCK):  # block pairs of a long list whose sizes can meet
-            own = slice(start[g], start[g] + m[g])
-            k, size, who, p = key[own], n[own], rep[own], part[own]
-            low, high = [size[p == i].min() for i in range(p[-1] + 1)], [size[p == i].max() for i in range(p[-1] + 1)]
-            for i in range(p[-1] + 1):
-                for j in range(i, p[-1] + 1):
-                    if i == j or 100 * high[i] >= LEAST * low[j]:
-                        for side, x in ((0, i), (1, j))[: 1 + (i != j)]:
-                            w = p == x
-                            c = int(w.sum())
-                            out.append((k[w], np.full(c, i), np.full(c, j), np.full(c, side), who[w], size[w]))
-        cols = [np.concatenate(c) for c in zip(*out)]
-        if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["key", "i", "j", "side", "rep", "n"])
+        m = np.diff(np.r_[start, len(key)])
+        open_ = np.zeros(len(m), bool)
+        if edges:
+            open_[0] |= first
+            open_[-1] |= end
+        m = np.where(np.logical_or.reduceat(near, start) & (m > 1) | open_, m, 0)
+        i = np.arange(len(key)) - start[group]
+        parts = -(-m // block)
+        number = blk + (np.cumsum(parts) - parts)[group] + i // block
+        blk += int(parts.sum())
+        more = (parts > 1) | open_
+        size = np.minimum(block, m[group] - i // block * block)  # of the member's block
+        lead = more[group] & ((i % block < ENDS) | (i % block >= size - ENDS))
+        first = False
+        keep = pa.array(m[group] > 0)
+        cols = [pa.array(c).filter(keep) for c in (key, number, rep, n, near, more[group], lead)]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "blk", "rep", "n", "near", "more", "lead"])
+
+    for t in _grouped(batches, 1):
+        if waiting is not None:
+            yield blocks(waiting, False)
+        waiting = t
+    if waiting is not None:
+        yield blocks(waiting, True)
 
 
 def _pairs(batches, percent: int, cross: bool):
-    """Rows (key, i, j, side, rep, n, label, bits) in order -> (a, b, apart, key, i, j). ``cross``: all pairs of different labels that may link; else each rep's most alike predecessor in a list."""
+    """Rows (key, blk, home, side, rep, n, label, bits) in order -> (a, b, apart, key, blk). Members of one side meet each other, or those of the two sides.
+
+    ``cross``: all pairs of different labels that may link; else each rep's most alike predecessor in a block."""
     step = 200_000
 
     def fitting(x, y, n, label, bits):
@@ -224,7 +281,7 @@ def _pairs(batches, percent: int, cross: bool):
             found.append(fitting(x, x + lag, n, label, bits))
         for g in np.flatnonzero(m > 64):
             rows = np.arange(start[g], start[g] + m[g])
-            if i[rows[0]] == j[rows[0]]:
+            if side[rows[0]] == side[rows[-1]]:
                 for r in range(len(rows) - 1):
                     found.append(fitting(np.full(len(rows) - r - 1, rows[r]), rows[r + 1 :], n, label, bits))
             else:
@@ -241,7 +298,7 @@ def _pairs(batches, percent: int, cross: bool):
         a, b, apart, g = a[order], b[order], apart[order], g[order]
         keep = np.r_[True, (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if cross else (g[1:] != g[:-1]))][: len(a)]
         first = start[g[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[keep], b[keep], apart[keep], key[first], i[first], j[first])], names=["a", "b", "apart", "key", "i", "j"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[keep], b[keep], apart[keep], key[first], i[first])], names=["a", "b", "apart", "key", "blk"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -283,33 +340,64 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     missed = F.floor(F.lit(100 - percent) * F.col("n") / 100)
     if any(s < 1 for _, s in bands) and signed.where((F.col("n") > 3) & ((F.col("z0") <= missed) | (F.col("z1") <= missed))).limit(1).count():
         return near_duplicates(docs, size, percent, bands=tuple((t, 1.0) for t, _ in bands))
+    reported = signed.where("often is not null").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy("x.often").agg(F.sum("x.counts").alias("n"))
+    top = sorted((r["often"], r["n"]) for r in reported.orderBy(F.desc("n"), "often").limit(OFTEN).collect())
+    often, counts = np.array([s for s, _ in top], np.int64), np.array([n for _, n in top], np.int64)
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    members = known.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"])
-    members = written(members.distinct(), "members")
-    # Sets of under four shingles link with equal ones only.
-    reps = members.where(F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2")
+    # One row for each class; sets of under four shingles link with equal ones only.
+    classes = written(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
+    reps = classes.select("rep", "c1", "c2")
     small = _boundary(known, percent, bands)
     least = max(4, int(least_overlap(small + 1, percent)))
-    keys = _keys(known, _part_rows(docs, size, percent, bands, least), reps, small, percent)
-    lists = written(keys.repartition("key").sortWithinPartitions("key", "n", "rep").select("key", "n", "rep", "near").mapInArrow(_lists, "key long, i long, j long, side long, rep long, n long"), "lists")
+    keys = written(_keys(known, _part_rows(docs, size, percent, bands, least, often), reps, small, percent, often, counts).select("key", "n", "rep", "near"), "keys")
     bits = known.select(F.col("doc_id").alias("rep"), "n", "bits")
-    place = ["key", "i", "j"]
-    shape = "a long, b long, apart long, key long, i long, j long"
+    place = ["key", "blk", "home"]
     columns = [*place, "side", "rep", "n", "label", "bits"]
-    near = lists.join(bits, ["rep", "n"]).withColumn("label", F.lit(0).cast("long")).select(*columns)
-    first = written(near.repartition(*place).sortWithinPartitions(*place, "side", "rep").mapInArrow(lambda it: _pairs(it, percent, False), shape), "first")
+    lists, level = [], keys
+    while level is not None:
+        few = bool(lists) and level.limit(FEW + 1).count() <= FEW
+        dealt = level.repartition(1) if few else level.repartitionByRange("key", "n", "rep")
+        blocks = dealt.sortWithinPartitions("key", "n", "rep").mapInArrow(lambda it, few=few, block=BLOCK: _lists(it, not few, block), "key long, blk long, rep long, n long, near boolean, more boolean, lead boolean")
+        lists.append(written(blocks, "lists"))
+        level = lists[-1].where("lead").select("key", "n", "rep", F.lit(True).alias("near"))
+        level = None if level.isEmpty() else level
+    first = None
+    for each in lists:
+        near = each.join(bits, ["rep", "n"]).withColumn("label", F.lit(0).cast("long")).withColumn("home", F.col("blk")).withColumn("side", F.lit(0)).select(*columns)
+        part = near.repartition("key", "blk").sortWithinPartitions(*place, "rep").mapInArrow(lambda it: _pairs(it, percent, False), "a long, b long, apart long, key long, blk long")
+        first = part if first is None else first.unionByName(part)
+    first = written(first, "first")
     best = first.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     links = written(_verified(written(best.select("a", "b"), "pairs"), docs, size, percent), "verified")
-    found = components(links)
-    # Lists in which some pair may link, and whose members lie in two components or more.
-    labelled = lists.join(first.select(*place).distinct(), place, "left_semi").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy(*place).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(*place)
-    open_ = labelled.join(mixed, place, "left_semi").join(bits, ["rep", "n"]).select(*columns)
-    rest = open_.repartition(*place).sortWithinPartitions(*place, "side", "rep").mapInArrow(lambda it: _pairs(it, percent, True), shape)
+    # The texts of one id are one document.
+    twice = known.select("doc_id", "c1", "c2").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    own = known.join(twice, "doc_id", "left_semi").select("doc_id", "c1", "c2").distinct().join(classes, ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = links.unionByName(own)
+    found = written(components(links), "found")
+    # Blocks in which some pair may link, and lists of several blocks, whose members lie in two components or more.
+    live = lists[0].where("not more").join(first.select("key", "blk").distinct(), ["key", "blk"], "left_semi").unionByName(lists[0].where("more"))
+    labelled = written(live.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).select("key", "blk", "rep", "n", "more", "label"), "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    open_ = labelled.join(mixed, "key", "left_semi")
+    one = open_.where("not more").select("key", "blk", F.col("blk").alias("home"), F.lit(0).alias("side"), "rep", "n", "label")
+    long = open_.where("more")
+    major = long.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
+    minor = long.join(major, "key").where("label <> major").drop("major")
+    # Members outside the most frequent component visit the blocks whose sizes they can meet.
+    span = lambda d, *by: d.groupBy("key", *by).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    visits = span(minor, "blk").select("key", F.col("blk").alias("home"), F.col("low").alias("l"), F.col("high").alias("h")).join(span(long, "blk"), "key")
+    visits = visits.where((F.col("high") * 100 >= F.col("l") * percent) & (F.col("h") * 100 >= F.col("low") * percent)).select("key", "blk", "home")
+    guests = minor.withColumnRenamed("blk", "home").join(visits, ["key", "home"]).withColumn("side", F.lit(0))
+    hosts = long.join(visits, ["key", "blk"]).withColumn("side", F.lit(1))
+    cross = one.unionByName(guests.select(*one.columns)).unionByName(hosts.select(*one.columns)).join(bits, ["rep", "n"]).select(*columns)
+    rest = cross.repartition(*place).sortWithinPartitions(*place, "side", "rep").mapInArrow(lambda it: _pairs(it, percent, True), "a long, b long, apart long, key long, blk long")
     more = written(_verified(written(rest.select("a", "b").distinct(), "pairs"), docs, size, percent), "verified")
     found = components(links.unionByName(more))
-    of = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "c1", "c2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    of = of.groupBy("doc_id", "c1", "c2").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
+    # What a class belongs to; classes of one document need no join, members of the others are dealt into parts.
+    of = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), "last")
+    single = of.where("class_id = last").select(F.col("last").alias("doc_id"), "c1", "c2", "class_id", "component_id")
+    many = of.where("class_id < last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = known.select("doc_id", "c1", "c2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).distinct()
+    of = single.unionByName(members.join(many, ["c1", "c2", "salt"]).select("doc_id", "c1", "c2", "class_id", "component_id"))
     out = signed.select("doc_id", "n", "c1", "c2").join(of, ["doc_id", "c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
