@@ -2,8 +2,8 @@
 
 Hashes of normalised lines are dealt by range on (hash, document) with a secondary sort, largest document first, and a
 stream over each sorted partition keeps the first document of every key. A key that touches the edge of a partition (so
-any key too large for one) is decided from a per-key summary of at most three documents, which combines before it is
-shuffled. Nothing carries text: the operator returns a compressed keep bitmap for each document.
+any key too large for one) is decided from a per-key summary, which combines before it is
+shuffled: the distinct documents of the key, whose number and largest are all that is kept. Nothing carries text: the operator returns a compressed keep bitmap for each document.
 
 Defined cases. A null or empty text is one empty line, which is never dropped. A line's key is the line without
 ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z lower-cased; keys under ``min_chars`` code points never drop. A document
@@ -148,9 +148,10 @@ def _kept_text(text: str | None, bitmap: bytes | None) -> str:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with only the kept lines in the text (null: empty), and ``n_lines``, ``n_dropped``."""
     names = docs.columns
-    tagged = docs.select("*", _text_hash(text_col).alias("__th"))
+    # The row is carried as one column, so its names can't clash with those used here.
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), _text_hash(text_col).alias("__th"))
     b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), F.col("n_lines").alias("__n"), F.col("n_dropped").alias("__gone"), F.col("keep_bitmap").alias("__bits"))
-    joined = tagged.join(b, (F.col(id_col) == F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
+    joined = tagged.join(b, (F.col("__doc") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left")
 
     @F.pandas_udf("string")
     def kept(text, bits):
@@ -158,14 +159,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
         return pd.Series([_kept_text(t, m) for t, m in zip(text, bits)], dtype=object)
 
-    whole = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long")
+    own, gone = F.col("__text"), F.coalesce(F.col("__gone"), F.lit(0))
+    whole = F.size(F.split(F.coalesce(own, F.lit("")), "\n", -1)).cast("long")
     # Only documents that lose a line pass through Python.
-    text = F.when(F.coalesce(F.col("__gone"), F.lit(0)) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept(F.when(F.col("__gone") > 0, F.col(text_col)), F.when(F.col("__gone") > 0, F.col("__bits"))))
-    cols = [text.alias(c) if c == text_col else F.col(c) for c in names]
-    return joined.select(*cols, F.coalesce("__n", whole).alias("__n_lines"), F.coalesce("__gone", F.lit(0)).cast("long").alias("__n_dropped"))
+    text = F.when(gone == 0, F.coalesce(own, F.lit(""))).otherwise(kept(F.when(gone > 0, own), F.when(gone > 0, F.col("__bits"))))
+    cols = [(text if c == text_col else F.col("__row").getField(c)).alias(c) for c in names]
+    return joined.select(*cols, F.coalesce("__n", whole).alias("__n_lines"), gone.cast("long").alias("__n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the lines that repeat in other documents; same columns."""
     ids = {k: v for k, v in options.items() if k in ("id_col", "text_col")}
-    return apply_bitmaps(docs, keep_bitmaps(docs, **options), **ids).select(*docs.columns)
+    return apply_bitmaps(docs, keep_bitmaps(docs, **options), **ids).drop("__n_lines", "__n_dropped")
