@@ -7,12 +7,15 @@ returns (doc_id, n_pieces, ids, round_trip). ``run`` writes each stage as Parque
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.llm import decontaminate, jaccard, line_dedup, quality, sentencepiece, token_counts
 from foliolake.llm.common import forget, written
 
+#: Ids that are sent to the documents, at most; beyond it documents and ids are joined by a shuffle.
+IDS = 1_000_000
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of documents that are here."""
@@ -26,13 +29,23 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once; rows with a null id stay."""
-    found = jaccard.near_duplicates(docs)
-    lost = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    ranked = kept.withColumn("__n", F.row_number().over(again))
-    return ranked.where(F.col("doc_id").isNull() | (F.col("__n") == 1)).select(*docs.columns)
+    """The document with the largest id of each near-duplicate group, once, as the lines that repeat stay in the largest id; rows with a null id stay.
+
+    Of rows that share an id the one with the smallest hash of its text stays."""
+    found = jaccard.near_duplicates(docs).where("doc_id is not null")
+    tied = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id", "component_id")
+    heads = tied.groupBy("component_id").agg(F.max("doc_id").alias("last"))
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    again = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(False).alias("lost"))
+    lost = tied.select("doc_id").unionByName(heads.select(F.col("component_id").alias("doc_id"))).distinct()
+    lost = lost.join(heads.select(F.col("last").alias("doc_id")), "doc_id", "left_anti").withColumn("lost", F.lit(True))
+    marked = written(lost.unionByName(again).groupBy("doc_id").agg(F.max("lost").alias("__lost")).withColumnRenamed("doc_id", "__id"), "lost")
+    # Texts move only where the ids are too many to be sent to them.
+    few = marked.limit(IDS + 1).count() <= IDS
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(F.broadcast(marked) if few else marked, F.col("id") == F.col("__id"), "left")
+    repeated = joined.where(~F.col("__lost")).groupBy("id").agg(F.min_by("row", "hash").alias("row"))
+    return joined.where(F.col("__lost").isNull()).select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 def clean_of_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
