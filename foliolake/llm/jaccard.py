@@ -331,6 +331,12 @@ def _link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    """A row for each of some lists: sent to the members where there are at most ``IDS``, so that long lists aren't dealt by key."""
+    keys = written(keys, "keys")
+    return F.broadcast(keys) if keys.limit(IDS + 1).count() <= IDS else keys
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands=BANDS) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the smallest id with an equal set, component_id the smallest that links reach."""
     if percent < LEAST:
@@ -377,11 +383,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # Blocks in which some pair may link, and lists of several blocks, whose members lie in two components or more.
     live = lists[0].where("not more").join(first.select("key", "blk").distinct(), ["key", "blk"], "left_semi").unionByName(lists[0].where("more"))
     labelled = written(live.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).select("key", "blk", "rep", "n", "more", "label"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    mixed = _sent(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
     open_ = labelled.join(mixed, "key", "left_semi")
     one = open_.where("not more").select("key", "blk", F.col("blk").alias("home"), F.lit(0).alias("side"), "rep", "n", "label")
     long = open_.where("more")
-    major = long.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
+    major = _sent(long.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major")))
     minor = long.join(major, "key").where("label <> major").drop("major")
     # Members outside the most frequent component visit the blocks whose sizes they can meet.
     span = lambda d, *by: d.groupBy("key", *by).agg(F.min("n").alias("low"), F.max("n").alias("high"))
