@@ -550,6 +550,36 @@ class Document:
         out += b"trailer\n" + written(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % start
         return bytes(out)
 
+    def save_packed(self, per: int = 100) -> bytes:
+        """The whole file written anew: plain objects in compressed containers of at most ``per``, the cross-references in a stream."""
+        self.load_all()
+        live = {n: v for n, v in sorted(self.objects.items()) if v is not None and not (isinstance(v, Stream) and v.dict.get("Type") in ("XRef", "ObjStm"))}
+        plain = [n for n, v in live.items() if not isinstance(v, Stream)]
+        last = max(live, default=0)
+        entries: dict[int, tuple[int, int, int]] = {0: (0, 0, 65535)}
+        whole = {n: v for n, v in live.items() if isinstance(v, Stream)}
+        for i in range(0, len(plain), per):
+            last += 1
+            own = plain[i : i + per]
+            bodies = [written(live[n]) for n in own]
+            places, at = [], 0
+            for k, (n, body) in enumerate(zip(own, bodies)):
+                places.append(b"%d %d" % (n, at))
+                at += len(body) + 1
+                entries[n] = (2, last, k)
+            head = b" ".join(places) + b"\n"
+            whole[last] = compressed(head + b"\n".join(bodies), {Name("Type"): Name("ObjStm"), Name("N"): len(own), Name("First"): len(head)})
+        out = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n")
+        for n, v in whole.items():
+            entries[n] = (1, len(out), 0)
+            out += b"%d 0 obj\n" % n + written(v) + b"\nendobj\n"
+        start, own = len(out), last + 1
+        entries[own] = (1, start, 0)
+        table = b"".join(kind.to_bytes(1, "big") + a.to_bytes(4, "big") + b.to_bytes(2, "big") for kind, a, b in (entries.get(n, (0, 0, 65535)) for n in range(own + 1)))
+        trailer = {k: v for k, v in self.trailer.items() if k in ("Root", "Info", "ID")}
+        out += b"%d 0 obj\n" % own + written(compressed(table, trailer | {Name("Type"): Name("XRef"), Name("Size"): own + 1, Name("W"): [1, 4, 2]})) + b"\nendobj\n"
+        return bytes(out + b"startxref\n%d\n%%%%EOF\n" % start)
+
     @classmethod
     def empty(cls) -> Document:
         doc = cls()

@@ -225,6 +225,13 @@ def open_with(doc: Document, password: str = "") -> Document:
     return doc
 
 
+def permitted(perms: int, action: str) -> bool:
+    """Whether ``/P`` lets a user do something; numbers are bits of it, counted from 1."""
+    has = lambda *bits: all(perms >> (b - 1) & 1 for b in bits)
+    ways = {"print": [(3,)], "modify": [(4,)], "copy": [(5,)], "annotate": [(6,)], "fill": [(9,), (6,)], "assemble": [(11,), (4,)], "create_field": [(4, 6)]}[action]
+    return any(has(*w) for w in ways)
+
+
 def encrypt(doc: Document, owner: str, user: str = "", perms: int = -4, rev: int = 6) -> Document:
     """Every string and stream encrypted; the owner password must be there."""
     if not owner:
