@@ -43,6 +43,13 @@ def win_ansi(code: Column) -> Column:
     return F.element_at(F.array(*(F.lit(c) for c in table)), code.cast("int") + 1)
 
 
+def win_ansi_codes(col: Column) -> Column:
+    """The WinAnsi codes of a text's characters; those without one are that of ``?``."""
+    known = {bytes([i]).decode("cp1252"): i for i in range(256) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    codes = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.transform(F.filter(F.split(col, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(codes, c), F.lit(63)))
+
+
 def pdf_string(col: Column) -> Column:
     return chained(col, (("\\", "\\\\"), ("(", "\\("), (")", "\\)"), ("\r", "\\r"), ("\n", "\\n")))
 

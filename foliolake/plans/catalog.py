@@ -144,7 +144,7 @@ def search_snippet(spark, sf_dir):
     return search.search(read(spark, sf_dir, "documents"), "the", ["doc_id"], max_hits=5).select("doc_id", "hit_no", "snippet")
 
 
-@query("SELECT doc_id, CAST((len(f) - len(replace(f, 'ss', ''))) / 2 AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS f FROM documents WHERE lang = 'de')")
+@query("SELECT doc_id, CAST((len(f) - len(replace(f, 'ss', ''))) / 2 AS BIGINT) AS n FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS f FROM documents)")
 def search_ignore_case(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.size(search.spans_folded(F.col("text"), "SS")).cast("long").alias("n"))
@@ -214,9 +214,9 @@ def ligature_fold(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", c.alias("composed"), T.decompose_ligatures(c).alias("back"))
 
 
-@query("SELECT doc_id, regexp_replace(translate(text, 'áàâãåÁÀÂÃÅéèêëÉÈÊËíìîïÍÌÎÏóòôõÓÒÔÕúùûüÚÙÛÜñÑçÇß¿¡—–“”‘’…', 'aaaaaAAAAAeeeeEEEEiiiiIIIIooooOOOOuuuuUUUUnNcCs?!--\"\"''''.'), '[^\\x00-\\x7F]', '?', 'g') AS plain FROM documents WHERE lang <> 'en'")
+@query("SELECT doc_id, regexp_replace(translate(text, 'áàâãåÁÀÂÃÅéèêëÉÈÊËíìîïÍÌÎÏóòôõÓÒÔÕúùûüÚÙÛÜñÑçÇß¿¡—–“”‘’…', 'aaaaaAAAAAeeeeEEEEiiiiIIIIooooOOOOuuuuUUUUnNcCs?!--\"\"''''.'), '[^\\x00-\\x7F]', '?', 'g') AS plain FROM documents")
 def transliterate(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", T.transliterate(F.col("text")).alias("plain"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.transliterate(F.col("text")).alias("plain"))
 
 
 @query("SELECT page_id, regexp_matches(lower(url), '^https?://') AS allowed, lower(split_part(url, ':', 1)) AS scheme, lower(split_part(url, ':', 1)) IN ('javascript', 'jscript', 'livescript', 'vbscript', 'file', 'data') AS dangerous FROM pages")
@@ -232,7 +232,7 @@ def pdf_date(spark, sf_dir):
     return orders.select("o_orderkey", iso.alias("iso"), T.iso_to_pdf_date(iso).alias("pdf"))
 
 
-@query("SELECT doc_id, 'Page ' || CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR) || ' of ' || CAST((SELECT count(*) FROM documents WHERE source = 'src1') AS VARCHAR) AS label FROM documents WHERE source = 'src1'")
+@query("SELECT doc_id, 'Page ' || CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) || ' of ' || CAST(count(*) OVER (PARTITION BY source) AS VARCHAR) AS label FROM documents")
 def bates_label(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     own = Window.partitionBy("source")
@@ -323,14 +323,23 @@ def spans_islands(spark, sf_dir):
     return runs.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i FROM events), "
+    "r AS (SELECT user_id, i, value AS head, 0 AS g FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN abs(e.value - r.head) > 5.0 THEN e.value ELSE r.head END, r.g + CASE WHEN abs(e.value - r.head) > 5.0 THEN 1 ELSE 0 END "
+    "FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, CAST(max(g) AS INT) AS groups FROM r GROUP BY user_id"
+)
 def line_fold(spark, sf_dir):
     """Groups of a user's values within a tolerance of their group's first."""
     ev = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("v"))
     return ev.select("user_id", F.array_max(cluster.anchored(F.col("v"), 5.0)).alias("groups"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT p_brand, p_retailprice AS x, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS i FROM part), "
+    "r AS (SELECT p_brand, i, CAST(x AS DOUBLE) AS mean, 1 AS n, 1 AS levels FROM e WHERE i = 1 UNION ALL SELECT e.p_brand, e.i, CASE WHEN abs(e.x - r.mean) <= 2.5 THEN (r.mean * r.n + e.x) / (r.n + 1) ELSE CAST(e.x AS DOUBLE) END, "
+    "CASE WHEN abs(e.x - r.mean) <= 2.5 THEN r.n + 1 ELSE 1 END, r.levels + CASE WHEN abs(e.x - r.mean) <= 2.5 THEN 0 ELSE 1 END FROM r JOIN e ON e.p_brand = r.p_brand AND e.i = r.i + 1) "
+    "SELECT p_brand, CAST(max(levels) AS INT) AS levels FROM r GROUP BY p_brand"
+)
 def level_cluster(spark, sf_dir):
     """Price levels of each brand by running means."""
     part = read(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list("p_retailprice")).alias("v"))
@@ -346,7 +355,7 @@ def interval_merge(spark, sf_dir):
     return cluster.merged_intervals(rows, ["k"], "lo", "hi", 3.0).select("k", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query("SELECT o_orderstatus, string_agg(row, chr(13) || chr(10) ORDER BY o_orderkey) AS csv FROM (SELECT o_orderstatus, o_orderkey, CAST(o_orderkey AS VARCHAR) || ',' || o_orderpriority AS row FROM orders WHERE o_orderkey % 50 = 0) GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus, string_agg(row, chr(13) || chr(10) ORDER BY o_orderkey) AS csv FROM (SELECT o_orderstatus, o_orderkey, CAST(o_orderkey AS VARCHAR) || ',' || o_orderpriority AS row FROM orders) GROUP BY o_orderstatus")
 def table_csv(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
     rows = orders.select("o_orderstatus", F.col("o_orderkey").alias("row_idx"), F.array(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("cells"))
@@ -395,7 +404,7 @@ def split_chunks(spark, sf_dir):
     return pages.split(c, 2).select("conv_id", "part", "page_index", F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS page_index, role FROM conversations WHERE conv_id < 50")
+@query("SELECT conv_id, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS BIGINT) AS page_index, role FROM conversations")
 def merge_renumber(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").withColumnRenamed("turn", "page_index")
     return pages.merge([c], "conv_id").select("conv_id", "page_index", "role")
@@ -470,15 +479,10 @@ def reflow(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", run("text").alias("r")).select("conv_id", "turn", "r.lines", "r.widest")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS blocks, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")
-def html_blocks(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<p>")).cast("long").alias("blocks"), F.array_join(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), " ").alias("links"))
-
-
 # --- PDF files made from the tables ---------------------------------------------------------------------------------------
 
 
-def _part_files(spark, sf_dir) -> DataFrame:
+def part_files(spark, sf_dir) -> DataFrame:
     """A file for each part: a title, a ruled table of two rows, an e-mail address, and metadata."""
     from ..sources.pdf import build
 
@@ -494,17 +498,17 @@ def _part_files(spark, sf_dir) -> DataFrame:
         return pd.Series(out)
 
     part = read(spark, sf_dir, "part")
-    return part.select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_partkey", "p_name", "p_brand", "p_size").alias("content"))
+    return part.select(F.col("p_partkey").cast("string").alias("doc_id"), "p_name", "p_brand", "p_size", made("p_partkey", "p_name", "p_brand", "p_size").alias("content"))
 
 
-_PARTS = "(SELECT CAST(p_partkey AS VARCHAR) AS doc_id, * FROM part WHERE p_partkey % 10 = 0)"
+_PARTS = "(SELECT CAST(p_partkey AS VARCHAR) AS doc_id, * FROM part)"
 
 
 @query(f"SELECT doc_id, unnest([p_name, 'Brand Size', p_brand || ' ' || CAST(p_size AS VARCHAR), 'mail p' || doc_id || '@example.com now']) AS text FROM {_PARTS}")
 def pdf_scan(spark, sf_dir):
     from ..sources.pdf.scan import scan
 
-    return scan(_part_files(spark, sf_dir), "lines").select("doc_id", "text")
+    return scan(part_files(spark, sf_dir), "lines").select("doc_id", "text")
 
 
 @query(f"SELECT doc_id, unnest([p_name, 'Brand Size', p_brand || ' ' || CAST(p_size AS VARCHAR), 'mail p' || doc_id || '@example.com now']) AS text FROM {_PARTS}")
@@ -513,21 +517,21 @@ def pdf_lines_from_glyphs(spark, sf_dir):
     from ..operators import layout
     from ..sources.pdf.scan import scan
 
-    return layout.lines(layout.spans(scan(_part_files(spark, sf_dir), "glyphs"))).select("doc_id", "text")
+    return layout.lines(layout.spans(scan(part_files(spark, sf_dir), "glyphs"))).select("doc_id", "text")
 
 
 @query(f"SELECT doc_id, unnest([0, 0, 1, 1]) AS row_idx, unnest([0, 1, 0, 1]) AS col_idx, unnest(['Brand', 'Size', p_brand, CAST(p_size AS VARCHAR)]) AS text FROM {_PARTS}")
 def pdf_tables(spark, sf_dir):
     from ..sources.pdf.scan import scan
 
-    return scan(_part_files(spark, sf_dir), "table_cells").select("doc_id", "row_idx", "col_idx", "text")
+    return scan(part_files(spark, sf_dir), "table_cells").select("doc_id", "row_idx", "col_idx", "text")
 
 
 @query(f"SELECT doc_id, p_name AS title, p_brand AS author FROM {_PARTS}")
 def pdf_metadata(spark, sf_dir):
     from ..sources.pdf.scan import scan
 
-    return scan(_part_files(spark, sf_dir), "metadata").select("doc_id", "title", "author")
+    return scan(part_files(spark, sf_dir), "metadata").select("doc_id", "title", "author")
 
 
 @query(f"SELECT doc_id, CAST(0 AS BIGINT) AS emails, 'mail' AS before, 'now' AS after FROM {_PARTS}")
@@ -538,7 +542,7 @@ def pdf_redact_email(spark, sf_dir):
     from ..operators.documents import change
     from ..sources.pdf.scan import scan
 
-    clean = change(_part_files(spark, sf_dir), "redact_pattern", re.compile(r"[\w.]+@[\w.]+"), label="")
+    clean = change(part_files(spark, sf_dir), "redact_pattern", re.compile(r"[\w.]+@[\w.]+"), label="")
     lines = scan(clean.select("doc_id", "content"), "paragraphs").where(F.col("text").startswith("mail"))
     word = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     return lines.select("doc_id", F.size(P.email(F.col("text"))).cast("long").alias("emails"), word[0].alias("before"), F.element_at(word, -1).alias("after"))
@@ -548,7 +552,7 @@ def pdf_redact_email(spark, sf_dir):
 def pdf_markdown(spark, sf_dir):
     from ..operators.documents import export_as
 
-    md = export_as(_part_files(spark, sf_dir), "markdown")
+    md = export_as(part_files(spark, sf_dir), "markdown")
     return md.select("doc_id", F.regexp_replace(F.substring_index(F.decode("content", "utf-8"), "\n", 1), "^#+ ", "# ").alias("first_line"))
 
 
@@ -557,6 +561,5 @@ def pdf_merge(spark, sf_dir):
     from ..operators.documents import merge
     from ..sources.pdf.scan import scan
 
-    sizes = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_size").alias("k"))
-    whole = merge(_part_files(spark, sf_dir).join(sizes, "doc_id"), ["k"], ["doc_id"])
+    whole = merge(part_files(spark, sf_dir).withColumnRenamed("p_size", "k"), ["k"], ["doc_id"])
     return scan(whole.select(F.col("k").cast("string").alias("doc_id"), "content"), "documents").select(F.col("doc_id").cast("int").alias("k"), "n_pages")
