@@ -30,6 +30,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part table, dealt to all cores where it lies in fewer files than these: making and reading a file takes far longer than reading a row."""
+    own, cores = read(spark, sf_dir, "part"), spark.sparkContext.defaultParallelism
+    return own if len(own.inputFiles()) >= cores else own.repartition(cores)
+
+
 # --- sensitive data -------------------------------------------------------------------------------------------------------
 
 _EMAILS = r"list_filter(regexp_extract_all({c}, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]*'), lambda m: regexp_full_match(m, '[A-Za-z0-9_+-](?:[A-Za-z0-9._+-]*[A-Za-z0-9_+-])?@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}'))"
@@ -497,7 +503,7 @@ def part_files(spark, sf_dir) -> DataFrame:
             out.append(build.simple([lines], info={"Title": n, "Author": b}, rules=[rules]))
         return pd.Series(out)
 
-    part = read(spark, sf_dir, "part")
+    part = parts(spark, sf_dir)
     return part.select(F.col("p_partkey").cast("string").alias("doc_id"), "p_name", "p_brand", "p_size", made("p_partkey", "p_name", "p_brand", "p_size").alias("content"))
 
 

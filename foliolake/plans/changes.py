@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import compare, documents, forms, reports, search
 from ..sources.pdf.scan import scan
-from .catalog import part_files, query, read
+from .catalog import part_files, parts, query, read
 
 _PARTS = "(SELECT CAST(p_partkey AS VARCHAR) AS doc_id, * FROM part)"
 _MAIL = "'mail p' || doc_id || '@example.com now'"
@@ -172,7 +172,7 @@ def _blank_forms(spark, sf_dir) -> DataFrame:
 
         return pd.Series([build.simple([[(72, 503, f"{b} date:", 12), (60, 455, "Signature ___", 12), (90, 402, "I agree", 12)]], rules=[rules]) for b in brand])
 
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_brand").alias("content"))
+    return parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_brand").alias("content"))
 
 
 _CANDIDATES = "unnest(['text', 'signature', 'checkbox']) AS field_type, unnest([p_brand || ' date', 'Signature', 'I agree']) AS label, unnest([0.88, 0.92, 0.9])::DOUBLE AS confidence"
@@ -242,7 +242,7 @@ def pdf_hidden_layer(spark, sf_dir):
             out.append(doc.save())
         return pd.Series(out)
 
-    return lines(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_name", "p_size").alias("content")))
+    return lines(parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_name", "p_size").alias("content")))
 
 
 @query(f"SELECT doc_id, CAST(p_size * 90 % 360 AS INT) AS rotation, 10.0::DOUBLE AS crop_x, (100 + p_size)::DOUBLE AS crop_right, 612.0::DOUBLE AS media_right FROM {_PARTS}")
@@ -383,7 +383,7 @@ def _pictures(spark, sf_dir) -> DataFrame:
             out.append(doc.save())
         return pd.Series(out)
 
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), "p_size", made("p_size").alias("content"))
+    return parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("doc_id"), "p_size", made("p_size").alias("content"))
 
 
 @query(f"SELECT doc_id, CAST(4 + p_size % 5 AS INT) AS width_px, 2 AS height_px, 8 AS bits, 612.0::DOUBLE AS right_edge, true AS is_scan FROM {_PARTS}")
@@ -401,10 +401,10 @@ def pdf_text_layer(spark, sf_dir):
     return lines(documents.recognised(_pictures(spark, sf_dir), 0, tsv, 4 + F.col("p_size") % 5, F.lit(2)))
 
 
-@query(f"SELECT doc_id, 612 AS width_px, 792 AS height_px, 'OK' AS status FROM {_PARTS} WHERE p_size = 1")
+@query(f"SELECT doc_id, 306 AS width_px, 396 AS height_px, 'OK' AS status FROM {_PARTS}")
 def pdf_render(spark, sf_dir):
-    """Pages as pictures, of the parts of size 1."""
-    pictures = documents.render(part_files(spark, sf_dir).where("p_size = 1"), "png", 72)
+    """Pages as pictures."""
+    pictures = documents.render(part_files(spark, sf_dir), "png", 36)
     at = lambda k: F.conv(F.hex(F.substring("picture", k, 4)), 16, 10).cast("int")
     return pictures.select("doc_id", at(17).alias("width_px"), at(21).alias("height_px"), F.col("status.code").alias("status"))
 
@@ -484,7 +484,7 @@ def pdf_borderless(spark, sf_dir):
             out.append(build.simple([[(72, y, x, 12) for y, x, _ in rows] + [(250, y, z, 12) for y, _, z in rows]]))
         return pd.Series(out)
 
-    files = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_brand", "p_size").alias("content"))
+    files = parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("doc_id"), made("p_brand", "p_size").alias("content"))
     cells = found(files, "table_cells").groupBy("doc_id", "row_idx").agg(F.max(F.when(F.col("col_idx") == 0, F.col("text"))).alias("first"), F.max(F.when(F.col("col_idx") == 1, F.col("text"))).alias("second"))
     return cells.where("row_idx < 2").select("doc_id", "first", "second")
 
