@@ -24,8 +24,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: every larger neighbour of a node is tied to the smallest one it can see.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        hot, up = F.broadcast(least.where(F.col("n") >= HOT).drop("n")), both.where("v > u")
-        tied = up.join(hot, "u").unionByName(up.join(hot, "u", "left_anti").join(least.where(F.col("n") < HOT).drop("n"), "u"))
+        up = both.where("v > u")
+        if mark[0] < HOT:  # no node can have so many links
+            tied = up.join(least.drop("n"), "u")
+        else:
+            hot = F.broadcast(least.where(F.col("n") >= HOT).drop("n"))
+            tied = up.join(hot, "u").unionByName(up.join(hot, "u", "left_anti").join(least.where(F.col("n") < HOT).drop("n"), "u"))
         large = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: the smaller neighbours of a node, and the node, are tied to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
