@@ -33,6 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def slices(batches, rows: int = 1000):
+    """Record batches of at most ``rows`` rows: what a worker makes of texts stays small whatever Spark's batches hold."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files behind a ``written`` table that nothing reads any more."""
     path = getattr(df, "_foliolake_path", None)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .components import components
 from .shingles import _mixed, shingle_set
 
@@ -80,7 +80,7 @@ def _part_rows(docs: DataFrame, size: int, percent: int, bands, least: int, ofte
     ``band``, from 16 up, and a number of its own and the document's as ``s``."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             s, doc, band = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = shingle_set(text, size)
@@ -110,7 +110,7 @@ def _signatures(docs: DataFrame, size: int, percent: int, bands) -> DataFrame:
         import xxhash
 
         shape = [("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bits", pa.binary()), ("first", pa.list_(pa.int64())), ("b0", pa.int32()), ("z0", pa.int32()), ("b1", pa.int32()), ("z1", pa.int32()), ("often", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]
-        for b in batches:
+        for b in slices(batches):
             rows, every = [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, size)
@@ -246,7 +246,7 @@ def _pairs(batches, percent: int, cross: bool):
     """Rows (key, blk, home, side, rep, n, label, bits) in order -> (a, b, apart, key, blk). Members of one side meet each other, or those of the two sides.
 
     ``cross``: all pairs of different labels that may link; else each rep's most alike predecessor in a block."""
-    step = 200_000
+    step = 50_000
 
     def fitting(x, y, n, label, bits):
         """Of row pairs (x, y): those that may link, with the later rep first, and how far apart they are at least."""
@@ -308,7 +308,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     texts = docs.join(F.broadcast(asked) if few else asked, "doc_id").select("a", "b", "doc_id", "text")
 
     def sets(batches):
-        for t in batches:
+        for t in slices(batches):
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([shingle_set(x, size).tobytes() for x in t.column(3).to_pylist()], pa.binary())], names=["a", "b", "doc_id", "s"])
 
     def check(batches):

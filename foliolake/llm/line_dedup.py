@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 _LINE = "h1 long, h2 long, doc long, th long, at binary"
 
@@ -30,7 +30,7 @@ def _lines(batches, min_chars: int):
     """(doc, th, text) -> a row for each distinct key of a document, with the positions of its lines."""
     import xxhash
 
-    for b in batches:
+    for b in slices(batches):
         h, doc, th, at = [], [], [], []
         for d, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if text is None or len(text) < min_chars:

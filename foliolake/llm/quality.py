@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_of
+from .common import held_out, label_of, slices
 
 NAMES = (
     "log_words", "log_word_bytes", "upper", "digit", "space", "punct", "symbol", "beyond_ascii", "symbol_ends_word",
@@ -76,7 +76,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, x array<double>)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [statistics(t) for t in b.column(1).to_pylist()]
             flat = np.concatenate(x) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * D, pa.int32()), pa.array(flat))], names=["doc_id", "x"])
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted) of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             s = model.scores(np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(-1, D))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             s = model.scores(np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, D))
             yield b.filter(pa.array(s >= 0.5))
 
