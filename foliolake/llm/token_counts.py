@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -67,6 +67,9 @@ class PrefixCounter:
         self.runs = regex.compile(r"\s{2,}(?=\S)").finditer
         added = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
+        #: Characters behind a pretoken that can change it: one beyond white space, or an added token that isn't whole.
+        self.reach = 2 + max(map(len, added), default=0)
+        self.good: set[bytes] = set()
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self.pairs: dict[bytes, tuple[bytes, bytes]] = {}
@@ -118,19 +121,29 @@ class PrefixCounter:
             self.apart[left, right] = found
         return found
 
-    @lru_cache(maxsize=1 << 16)  # noqa: B019
     def whole(self, token: bytes) -> bool:
-        return len(token) == 1 or self.merge(token) == [token]
+        """Whether merging makes the token of its bytes; one that it doesn't make leaves the vocabulary."""
+        if len(token) == 1 or self.merge(token) == [token]:
+            self.good.add(token)
+            return True
+        self.vocab.discard(token)
+        return False
 
     def counts(self, piece: bytes) -> list[int]:
-        n = len(piece)
+        n, longest = len(piece), self.longest
+        vocab, good, apart = self.vocab, self.good, self.apart.get
         last, count = [b""] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 token = piece[start:end]
-                if token in self.vocab and self.whole(token) and (not start or self.stays_apart(last[start], token)):
-                    last[end], count[end] = token, count[start] + 1
-                    break
+                if token not in vocab or token not in good and not self.whole(token):
+                    continue
+                if start:
+                    found = apart((last[start], token))
+                    if not (self.stays_apart(last[start], token) if found is None else found):
+                        continue
+                last[end], count[end] = token, count[start] + 1
+                break
         return count
 
     def prefixes(self, piece: str) -> bytes | np.ndarray:
@@ -140,14 +153,14 @@ class PrefixCounter:
             found = self.older.get(piece)
             if found is None:
                 raw = piece.encode()
-                n = np.array(self.counts(raw)[1:], np.int32)
+                n = self.counts(raw)[1:]
                 if len(raw) > len(piece):  # an entry for each character's last byte
-                    n = n[np.r_[np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[1:] - 1, len(raw) - 1]]
+                    n = [k for k, after in zip(n, raw[1:] + b" ") if after & 0xC0 != 0x80]
                 if piece in CONTRACTIONS:
                     n[1] = n[0] + self.prefixes(piece[1])[0]
-                if n.max() > 255:
-                    return n
-                found = n.astype(np.uint8).tobytes()
+                if max(n) > 255:
+                    return np.array(n, np.int32)
+                found = bytes(n)
             if len(piece) < 64:
                 if len(self.memo) > MEMO:
                     self.older, self.memo = self.memo, {}
@@ -158,12 +171,27 @@ class PrefixCounter:
         """Plain parts and, between them, added tokens."""
         return [text] if self.added is None else self.added.split(text)
 
-    def total(self, text: str) -> int:
-        n = 0
+    def measure(self, text: str, limit: int) -> tuple[int, int]:
+        """(tokens, characters beyond which every prefix has more than ``limit`` tokens).
+
+        A prefix has the pretokens that end ``reach`` characters before its end as the text has them, so their tokens are the least that it has."""
+        n = at = 0
+        upto = None
         get, more = self.memo.get, self.prefixes
         for i, part in enumerate(self.sections(text)):
-            n += 1 if i % 2 else sum([(get(p) or more(p))[-1] for p in self.find(part)])
-        return int(n)
+            pieces = [part] if i % 2 else self.find(part)
+            own = [1] if i % 2 else [(get(p) or more(p))[-1] for p in pieces]
+            whole = int(sum(own))
+            if upto is None and n + whole > limit:
+                k = next(k for k, m in enumerate(accumulate(own, initial=n)) if m > limit)
+                upto = at + sum(map(len, pieces[:k])) + self.reach
+            n, at = n + whole, at + len(part)
+        return n, len(text) if upto is None else min(upto, len(text))
+
+    def cut(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix of at most ``limit`` tokens."""
+        n, upto = self.measure(text, limit)
+        return fit(self.table(text[:upto]), limit) if n > limit else len(text)
 
     def table(self, text: str | None) -> np.ndarray:
         """Tokens of every prefix, by characters from 0."""
@@ -227,9 +255,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         c = counter(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n = np.fromiter(map(c.total, texts), np.int64, len(texts))
+            found = [c.measure(t, limit) for t in texts]
+            n = np.fromiter((k for k, _ in found), np.int64, len(texts))
             size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            cut = [fit(c.table(t), limit) if k > limit else len(t) for t, k in zip(texts, n.tolist())]
+            # The count of a prefix depends on the prefix alone: the table of a text's head has all that can keep to the limit.
+            cut = [fit(c.table(t[:upto]), limit) if k > limit else len(t) for t, (k, upto) in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit), pa.array(cut, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
@@ -280,6 +310,6 @@ def truncate_to_budget(docs: DataFrame, budget: int, path: str | None = None, te
     @F.pandas_udf("string")
     def cut(text):
         c = counter(path)
-        return text.map(lambda t: t[: fit(c.table(t), budget)])
+        return text.map(lambda t: t[: c.cut(t, budget)])
 
     return docs.withColumn(text_col, cut(F.coalesce(F.col(text_col), F.lit(""))))
