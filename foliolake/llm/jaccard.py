@@ -264,6 +264,18 @@ def _pairs(batches, percent: int, cross: bool):
             a.append(i[ok]), b.append(j[ok]), d.append(apart[ok])
         return np.concatenate(a), np.concatenate(b), np.concatenate(d)
 
+    def chosen(found, group, start, key, i, rep):
+        """Of row pairs found: each rep's most alike predecessor in a block, or every pair once."""
+        x, y, apart = (np.concatenate(c) for c in zip(*found))
+        a, b = np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])
+        ok = a != b
+        a, b, apart, g = a[ok], b[ok], apart[ok], group[x[ok]]
+        order = np.lexsort((b, a) if cross else (b, apart, a, g))
+        a, b, apart, g = a[order], b[order], apart[order], g[order]
+        keep = np.r_[True, (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if cross else (g[1:] != g[:-1]))][: len(a)]
+        first = start[g[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a[keep], b[keep], apart[keep], key[first], i[first])], names=["a", "b", "apart", "key", "blk"])
+
     for t in _grouped(batches, 3):
         key, i, j, side, rep, n, label = (t.column(c).to_numpy() for c in range(7))
         bits = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64)
@@ -279,8 +291,12 @@ def _pairs(batches, percent: int, cross: bool):
             if not len(x):
                 break
             found.append(fitting(x, x + lag, n, label, bits))
+        if found:
+            yield chosen(found, group, start, key, i, rep)
+        # The pairs of one large group are held at a time.
         for g in np.flatnonzero(m > 64):
             rows = np.arange(start[g], start[g] + m[g])
+            found = []
             if side[rows[0]] == side[rows[-1]]:
                 for r in range(len(rows) - 1):
                     found.append(fitting(np.full(len(rows) - r - 1, rows[r]), rows[r + 1 :], n, label, bits))
@@ -288,17 +304,7 @@ def _pairs(batches, percent: int, cross: bool):
                 other = rows[side[rows] == 1]
                 for r in rows[side[rows] == 0]:
                     found.append(fitting(np.full(len(other), r), other, n, label, bits))
-        if not found:
-            continue
-        x, y, apart = (np.concatenate(c) for c in zip(*found))
-        a, b = np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y])
-        ok = a != b
-        a, b, apart, g = a[ok], b[ok], apart[ok], group[x[ok]]
-        order = np.lexsort((b, a) if cross else (b, apart, a, g))
-        a, b, apart, g = a[order], b[order], apart[order], g[order]
-        keep = np.r_[True, (a[1:] != a[:-1]) | ((b[1:] != b[:-1]) if cross else (g[1:] != g[:-1]))][: len(a)]
-        first = start[g[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[keep], b[keep], apart[keep], key[first], i[first])], names=["a", "b", "apart", "key", "blk"])
+            yield chosen(found, group, start, key, i, rep)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
