@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import entered, slices, written
 from .components import components
 from .shingles import _mixed, shingle_set
 
@@ -164,6 +164,7 @@ def _keys(signed: DataFrame, rows: DataFrame, reps: DataFrame, small: int, perce
 
 def _shared(batches, often: np.ndarray, counts: np.ndarray):
     """Rows (s, doc_id, band) in order -> (doc_id, band, df, s) of every s that two rows or more have; the frequent ones are known to."""
+    entered("lists")
     for t in _grouped(batches, 1):
         s, band = t.column(0).to_numpy(), t.column(2).to_numpy()
         place = (band >> 4) - 1
@@ -205,6 +206,7 @@ def _lists(batches, edges: bool, block: int):
     ``more``: the list has more blocks, or (with ``edges``) may go on in another partition; such a list keeps all its members. ``lead``: the member is at an end of its block."""
     from pyspark import TaskContext
 
+    entered("lists")
     context = TaskContext.get()
     blk = (context.partitionId() if context else 0) << 40
     first = True
@@ -246,6 +248,7 @@ def _pairs(batches, percent: int, cross: bool):
     """Rows (key, blk, home, side, rep, n, label, bits) in order -> (a, b, apart, key, blk). Members of one side meet each other, or those of the two sides.
 
     ``cross``: all pairs of different labels that may link; else each rep's most alike predecessor in a block."""
+    entered("lists")
     step = 50_000
 
     def fitting(x, y, n, label, bits):
@@ -318,6 +321,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([shingle_set(x, size).tobytes() for x in t.column(3).to_pylist()], pa.binary())], names=["a", "b", "doc_id", "s"])
 
     def check(batches):
+        entered("lists")
         for t in _grouped(batches, 2):
             a, b, doc = (t.column(c).to_pylist() for c in range(3))
             held: dict[tuple, tuple[list, list]] = {}

@@ -7,7 +7,7 @@ import numpy as np
 from .common import entered, remembers
 
 #: Words whose hashes a worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
