@@ -59,6 +59,20 @@ def test_an_object_is_added_without_a_look_at_all_others():
     assert [d.add(b"").num for _ in range(200)] == [*range(3, 203)] and Counted.looks <= 2
 
 
+def _page_looks(monkeypatch, run):
+    looks, real = [], Document.pages
+    monkeypatch.setattr(Document, "pages", lambda self: looks.append(1) or real(self))
+    out = run()
+    monkeypatch.undo()
+    return out, len(looks)
+
+
+def test_merging_looks_at_the_pages_of_each_file_once(monkeypatch):
+    docs = [Document.load(mailed(k)) for k in range(40)]
+    out, n = _page_looks(monkeypatch, lambda: edit.merge(docs))
+    assert n == 40 and [p.text for x in out.pages() for p in layout.paragraphs(edit.extract.page_scan(out, x).glyphs)][1::2] == [f"mail p{k}@example.com now" for k in range(40)]
+
+
 def test_merge_tells_of_every_input_where_one_fails(spark):
     rows = [("a", 1, bytearray(mailed(1))), ("b", 1, bytearray(b"junk")), ("c", 1, bytearray(mailed(2))), ("d", 2, bytearray(b"junk"))]
     got = {r["k"]: r for r in documents.merge(spark.createDataFrame(rows, "doc_id string, k int, content binary"), ["k"], ["doc_id"]).collect()}
