@@ -73,6 +73,12 @@ def test_merging_looks_at_the_pages_of_each_file_once(monkeypatch):
     assert n == 40 and [p.text for x in out.pages() for p in layout.paragraphs(edit.extract.page_scan(out, x).glyphs)][1::2] == [f"mail p{k}@example.com now" for k in range(40)]
 
 
+def test_splitting_looks_at_the_pages_once(monkeypatch):
+    whole = edit.merge([Document.load(mailed(k)) for k in range(40)])
+    parts, n = _page_looks(monkeypatch, lambda: edit.split(whole, 3))
+    assert n == 1 and [len(p.pages()) for p in parts] == [3] * 13 + [1] and lines(parts[13])[1] == "mail p39@example.com now"
+
+
 def test_merge_tells_of_every_input_where_one_fails(spark):
     rows = [("a", 1, bytearray(mailed(1))), ("b", 1, bytearray(b"junk")), ("c", 1, bytearray(mailed(2))), ("d", 2, bytearray(b"junk"))]
     got = {r["k"]: r for r in documents.merge(spark.createDataFrame(rows, "doc_id string, k int, content binary"), ["k"], ["doc_id"]).collect()}
