@@ -119,3 +119,27 @@ def test_documents_compared_in_one_reading_equal_tables_compared(spark):
     want = compare.compare_documents(*({t: scan.scan(f, t) for t in names} for f in (a, b)), ["doc_id"])
     got = compare.compare_scans(*(scan.scans(f, {t: t for t in names}) for f in (a, b)), ["doc_id"])
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_texts_of_any_number_give_the_same_items_and_leave_other_operators_no_words(spark):
+    from foliolake.llm import common, decontaminate, shingles
+
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"before {i} {item} after" if i % 7 == 0 else f"nothing of it {i} " * 9) for i in range(1200)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r[0] for r in decontaminate.find_items(docs, bench).collect()) == list(range(0, 1200, 7))
+    assert sorted(r[0] for r in decontaminate.without_items(docs, bench).collect()) == [i for i in range(1200) if i % 7]
+
+    def state(batches):
+        import pyarrow as pa
+
+        shingles.shingle_set("a few words of the stage before this one")
+        held = len(shingles._words)
+        common.entered("decontamination")
+        n = len(shingles._words)
+        decontaminate.word_ids("five")
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"held": [held], "left": [n], "last": [common._last[0]]})
+
+    r = spark.range(1).coalesce(1).mapInArrow(state, "held long, left long, last string").first()
+    assert r["held"] > 0 and r["left"] == 0 and r["last"] == "decontamination"
