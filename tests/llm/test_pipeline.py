@@ -114,3 +114,19 @@ def test_query_returns_its_table(spark, name):
         assert {r["doc_id"] for r in rows} <= ids and rows
     else:
         assert {r[key] for r in rows} == ids | ({-7} if name.startswith("op7_") else set())
+
+
+def test_stages_after_the_first_begin_with_the_heap_given_back(spark, monkeypatch):
+    from foliolake.llm import common
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(spark._jvm.java.lang.Class.forName("java.lang.management.GarbageCollectorMXBean"))
+    old = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = old()
+    common.rested(spark)
+    assert old() > before
+    began = []
+    monkeypatch.setattr(cp, "rested", lambda s: began.append(s))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, SF)
+        assert len(began) == k
