@@ -177,3 +177,30 @@ def test_groups_are_dealt_over_more_tasks_than_cores(spark):
     files = spark.createDataFrame([(f"{k}", k, bytearray(mailed(k))) for k in range(50)], "doc_id string, k int, content binary")
     tasks = documents.merge(files, ["k"], ["doc_id"]).groupBy(F.spark_partition_id().alias("t")).agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in tasks) == 50 and max(r["n"] for r in tasks) <= 8
+
+
+@pytest.mark.parametrize("gap", [b" " * 26, b"\r\n" * 13, b" " * 13 + b"% [a] >> ]\n" + b" " * 13])
+def test_white_space_before_anything_but_a_bracket_is_passed_once(gap):
+    import time
+
+    from foliolake.sources.pdf.cos import Lexer
+
+    began = time.process_time()
+    got = Lexer(b"<</A [1" + gap + b"2" + gap + b"]" + gap + b"/B 3" + gap + b">>").object()
+    assert got == {"A": [1, 2], "B": 3} and time.process_time() - began < 0.5
+
+
+def test_a_signed_file_is_appended_to_and_read_in_a_few_milliseconds():
+    import time
+
+    from foliolake.sources.pdf import conform
+
+    signed = edit.attest(Document.load(mailed(1)), "Ann")
+    assert b"]" + b" " * 16 in signed  # room for the longest byte range
+    began = time.process_time()
+    for _ in range(20):
+        d = Document.load(signed)
+        edit.set_rotation(d, 0, 90)
+        out = conform.save_appended(d)
+        assert [s["byte_range_valid"] for s in scan.rows(out, "signatures")] == [False] and [r["rotation"] for r in scan.rows(out, "pages")] == [90]
+    assert out.startswith(signed) and time.process_time() - began < 1
