@@ -204,3 +204,17 @@ def test_a_signed_file_is_appended_to_and_read_in_a_few_milliseconds():
         out = conform.save_appended(d)
         assert [s["byte_range_valid"] for s in scan.rows(out, "signatures")] == [False] and [r["rotation"] for r in scan.rows(out, "pages")] == [90]
     assert out.startswith(signed) and time.process_time() - began < 1
+
+
+def test_appending_opens_what_changed_not_the_whole_file(monkeypatch):
+    from foliolake.sources.pdf import conform
+    from foliolake.sources.pdf.cos import Lexer
+
+    data, taken, real = edit.merge([Document.load(mailed(k)) for k in range(40)]).save(), [], Lexer.indirect
+    d = Document.load(data)
+    edit.set_metadata(d, {"title": "new"})
+    monkeypatch.setattr(Lexer, "indirect", lambda self, *a: taken.append(1) or real(self, *a))
+    out = conform.save_appended(d)
+    monkeypatch.undo()
+    assert len(d.xref) > 120 and len(taken) < 10 and out.startswith(data) and len(Document.load(out).pages()) == 40
+    assert next(scan.rows(out, "metadata"))["title"] == "new"
